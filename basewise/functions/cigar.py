@@ -33,7 +33,7 @@ def cigar_parse(text: Column) -> Column:
     whole = F.lit(f"^([0-9]+[{OPERATORS}])*$")
     parts = F.regexp_extract_all(text, F.lit(f"[0-9]+[{OPERATORS}]"), 0)
     return F.when(text.isin("*", ""), F.array().cast(CIGAR_TYPE)).when(
-        text.rlike(whole),
+        F.rlike(text, whole),
         F.transform(
             parts,
             lambda p: F.struct(

@@ -50,10 +50,9 @@ def _split_runs(n: int, m: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """
 
     def split(runs: pd.DataFrame) -> pd.DataFrame:
-        # Contigs in record order; unmapped (-1) last.
-        runs = runs.sort_values("ref_idx", key=lambda c: c.where(c >= 0, 2**31))
         out, start, size, context, current = [], 1, 0, None, -1
-        for ref, count in zip(runs["ref_idx"].tolist(), runs["n"].tolist()):
+        # Contigs in record order; unmapped (-1) last.
+        for ref, count in sorted(zip(runs["ref_idx"].tolist(), runs["n"].tolist()), key=lambda r: (r[0] < 0, r[0])):
             joins_open = (
                 0 < size < n
                 and (context == UNMAPPED_CONTEXT or ref != UNMAPPED_CONTEXT)

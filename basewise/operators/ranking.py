@@ -15,16 +15,21 @@ from pyspark.sql import functions as F
 from basewise.session import materialize, small_side
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rn") -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rn", stored: bool = False) -> DataFrame:
     """``df`` with a 1-based ``name`` per ``group``, in ``order``.
 
-    ``order`` must be unique inside a group. The sorted rows are written once to
-    the shared folder, because ranges and row positions must be the same for the
+    ``order`` must be unique inside a group. The sorted rows are written to the
+    shared folder, because ranges and row positions must be the same for the
     counts and for the rows they shift. The counts have one row per range, plus
     one per group that starts inside a range.
+
+    Finding the ranges samples the input, which would compute it twice; so it is
+    written first, unless ``stored`` says that ``df`` is a plain scan already.
     """
     keys = [F.col(g) for g in group] + list(order)
     row_id = F.monotonically_increasing_id()
+    if not stored:
+        df = materialize(df, "unranked")
     placed = materialize(
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", row_id.alias("_row")).select(
             *df.columns,
@@ -60,7 +65,8 @@ def count_windows(df: DataFrame, size: int, group: list[str], order: list[Column
 def coordinate_sort(df: DataFrame) -> DataFrame:
     """Total order by (sample, contig, position), unmapped reads last.
 
-    One range shuffle and a local sort: no numbering and no single-task sort.
+    One range shuffle and a local sort: no numbering and no single-task sort. Pass a
+    stored table, as finding the ranges reads the input once more.
     """
     keys = coordinate_keys()
     return df.repartitionByRange("sample", *keys).sortWithinPartitions("sample", *keys)

@@ -57,13 +57,13 @@ def coverage(records: DataFrame) -> DataFrame:
         "ref_idx", "pos", F.sum("d").over(bin_order).alias("n"), F.lead("pos").over(bin_order).alias("_next")
     ).where(F.col("n") > 0)
     # The last event of a bin ends every interval, so "_next" exists where n > 0.
-    return depth.select("ref_idx", F.explode(F.sequence(F.col("pos"), F.col("_next") - 1)).cast("int").alias("pos"), "n")
+    return depth.select("ref_idx", F.explode(F.sequence(F.col("pos"), F.col("_next") - 1)).alias("pos"), "n")
 
 
-def _differing(read: Column, reference: Column) -> Column:
-    """0-based offsets where two strings differ."""
+def _differing(read: Column, reference: Column, start: Column) -> Column:
+    """Reference positions, counted from ``start``, where two strings differ."""
     marks = F.zip_with(F.split(read, ""), F.split(reference, ""), lambda a, b: a != b)
-    return F.filter(F.transform(marks, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
+    return F.filter(F.transform(marks, lambda m, i: F.when(m, start + i)), lambda i: i.isNotNull())
 
 
 def mismatch_track(records: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def mismatch_track(records: DataFrame, contigs: DataFrame) -> DataFrame:
     )
     return (
         joined.where(F.col("_read") != F.col("_ref"))
-        .select("ref_idx", (F.explode(_differing(F.col("_read"), F.col("_ref"))) + F.col("ref_start")).cast("int").alias("pos"))
+        .select("ref_idx", F.explode(_differing(F.col("_read"), F.col("_ref"), F.col("ref_start"))).alias("pos"))
         .groupBy("ref_idx", "pos")
         .agg(F.count(F.lit(1)).alias("n"))
     )

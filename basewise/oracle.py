@@ -197,4 +197,7 @@ def oracle(sql: str) -> str:
             head = name + ("(sample, rn, ctx, size, container_id)" if name == "walk" else "")
             parts.append(f"{head} as {'materialized ' if name in _MATERIALIZED else ''}({text})")
     kind = "with recursive " if "walk" in needed else "with "
-    return kind + ",\n".join(parts) + "\n" + sql
+    body = sql.strip()
+    # A text with CTEs of its own continues the list.
+    rest = ",\n" + body[5:] if body.startswith("with ") else "\n" + body
+    return kind + ",\n".join(parts) + rest

@@ -29,7 +29,7 @@ def container_summary(contained: DataFrame) -> DataFrame:
 def write_run(spark: SparkSession, data: str, contigs: DataFrame, out: str, part_records: int = 1_000_000) -> None:
     """The writer program: SAM text and Parquet per sample, tracks per contig."""
     records = drop_eos(read_records(spark, f"{data}/records"), aligned=True)
-    write_sam_text(records, contigs, f"{out}/sam", part_records)
+    write_sam_text(records, contigs, f"{out}/sam", part_records, stored=True)
     write_records(records, f"{out}/parquet")
     coverage(records).write.parquet(f"{out}/coverage")
     mismatch_track(records, contigs).write.parquet(f"{out}/mismatches")

@@ -235,8 +235,8 @@ def trim_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 with letter as (select * from (values ('A'), ('C'), ('G'), ('T')) v(l)),
 word as (select a.l || b.l || c.l || d.l as kmer from letter a, letter b, letter c, letter d),
-seen as (select substr(seq, i::int, 4) as kmer from (select seq, unnest(range(1, length(seq) - 2)) as i from reads))
-select w.kmer, count(s.kmer) as n from word w left join seen s using (kmer) group by w.kmer""")
+observed as (select substr(seq, i::int, 4) as kmer from (select seq, unnest(range(1, length(seq) - 2)) as i from reads))
+select w.kmer, count(s.kmer) as n from word w left join observed s using (kmer) group by w.kmer""")
 def enumerate_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.kmer_spectrum(fx.reads(spark, sf_dir), 4)
 
@@ -712,7 +712,7 @@ def roundtrip_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, contigs = materialize(fx.records(spark, sf_dir), "records"), fx.contigs(spark, sf_dir)
     parquet, text = scratch_path(spark, "parquet"), scratch_path(spark, "sam")
     write_records(records, parquet)
-    write_sam_text(records, contigs, text, part_records=1000)
+    write_sam_text(records, contigs, text, part_records=1000, stored=True)
     columns = ["name", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "sample", "tags"]
 
     def plain(df: DataFrame) -> DataFrame:

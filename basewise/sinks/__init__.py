@@ -62,13 +62,14 @@ def sam_lines(records: DataFrame):
     return F.when(F.length(tags) > 0, F.concat_ws("\t", text, tags)).otherwise(text)
 
 
-def write_sam_text(records: DataFrame, contigs: DataFrame, path: str, part_records: int = 1_000_000, mode: str = "errorifexists") -> None:
+def write_sam_text(records: DataFrame, contigs: DataFrame, path: str, part_records: int = 1_000_000, mode: str = "errorifexists", stored: bool = False) -> None:
     """SAM text: ``<path>/sample=<s>/part=<n>/`` holds one file with header lines on top.
 
     A part is the next ``part_records`` records of its sample by (name, read number),
-    so no file and no task depends on how large a sample is.
+    so no file and no task depends on how large a sample is. ``stored`` is as in
+    :func:`ranked`.
     """
-    numbered = ranked(records, ["sample"], [F.col("name"), F.col("read_no")], "_rn")
+    numbered = ranked(records, ["sample"], [F.col("name"), F.col("read_no")], "_rn", stored)
     lines = numbered.select(
         "sample", F.expr(f"cast((_rn - 1) div {int(part_records)} as int)").alias("part"),
         F.col("_rn").alias("_ord"), sam_lines(numbered).alias("value"),

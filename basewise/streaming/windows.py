@@ -21,20 +21,23 @@ def _sharded(pairs: DataFrame, shards: int, shard: Column | None) -> DataFrame:
 
 
 def stream_count_windows(
-    pairs: DataFrame, size: int, shards: int = 8, shard: Column | None = None, idle_ms: int = 600_000
+    pairs: DataFrame, size: int, shards: int = 8, shard: Column | None = None, idle_ms: int | None = None
 ) -> DataFrame:
     """(name, sample, shard, window): rows leave in windows of ``size``.
 
     A short rest waits in the state until later batches fill it, a sentinel row ends
     the stream, or nothing came for ``idle_ms``. Samples are split over ``shards``
     keys, so a hot sample is not one task; a state holds fewer than ``size`` names.
+
+    Set ``idle_ms`` for processing-time triggers only: with ``availableNow`` a pending
+    timeout keeps the query running empty batches.
     """
 
     def windows(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         sample, shard_no = key
         number, held = state.get if state.exists else (0, "")
         rest = held.split("\n") if held else []
-        ended = state.hasTimedOut
+        ended = idle_ms is not None and state.hasTimedOut
 
         def out(names: list[str]) -> pd.DataFrame:
             return pd.DataFrame({"name": names, "sample": sample, "shard": shard_no, "window": number})
@@ -51,9 +54,9 @@ def stream_count_windows(
             yield out(rest)
             number, rest = number + 1, []
         state.update((number, "\n".join(rest)))
-        if rest:
+        if rest and idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
 
     return _sharded(pairs, shards, shard).groupBy("sample", "shard").applyInPandasWithState(
-        windows, _OUT, "number long, held string", "append", "ProcessingTimeTimeout"
+        windows, _OUT, "number long, held string", "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout"
     )
