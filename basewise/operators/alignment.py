@@ -9,6 +9,7 @@ from basewise.functions import sam
 from basewise.functions.cigar import CIGAR_TYPE
 from basewise.functions.decode import reverse_complement
 from basewise.functions.tags import sam_tags
+from basewise.session import small_side
 
 _READ = ("seq", "qual", "ref_idx", "pos", "pos_end", "strand", "nm", "score", "mapq")
 
@@ -67,8 +68,9 @@ def sam_records(
     rows = with_pair_geometry(with_mates(mapped), max_insert)
     is_mapped, mate_mapped = c("ref_idx").isNotNull(), c("mate_ref_idx").isNotNull()
     show_mate = mate_mapped if mate_info_on_unmapped else is_mapped & mate_mapped
-    names = contigs.select("ref_idx", c("contig").alias("rname"))
-    mate_names = contigs.select(c("ref_idx").alias("mate_ref_idx"), c("contig").alias("rnext"))
+    # One narrow row per contig; a contig, or no contig, may hold a third of all reads.
+    known = small_side(contigs.select("ref_idx", c("contig").alias("rname")))
+    names, mate_names = known, known.select(c("ref_idx").alias("mate_ref_idx"), c("rname").alias("rnext"))
     named = rows.join(names, "ref_idx", "left").join(mate_names, "mate_ref_idx", "left")
     back = c("strand") == "-"
     flag = sam.sam_flag(
@@ -97,7 +99,7 @@ def sam_records(
 
 def contig_index(records: DataFrame, contigs: DataFrame) -> DataFrame:
     """``ref_idx`` of each record's contig name, -1 for ``*``."""
-    names = contigs.select(F.col("contig").alias("rname"), F.col("ref_idx").alias("_i"))
+    names = small_side(contigs.select(F.col("contig").alias("rname"), F.col("ref_idx").alias("_i")))
     return records.drop("ref_idx").join(names, "rname", "left").withColumn(
         "ref_idx", F.coalesce("_i", F.lit(-1)).cast("int")
     ).drop("_i")

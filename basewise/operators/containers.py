@@ -129,7 +129,7 @@ def container_quality(records: DataFrame) -> DataFrame:
 def container_md5(records: DataFrame, contigs: DataFrame) -> DataFrame:
     """Digest of the contig of each single-contig container."""
     return container_context(records).join(
-        contig_md5(contigs).select(F.col("ref_idx").alias("context"), "md5"), "context"
+        small_side(contig_md5(contigs).select(F.col("ref_idx").alias("context"), "md5")), "context"
     ).select(*_KEY, "context", "md5")
 
 

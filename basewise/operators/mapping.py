@@ -12,8 +12,8 @@ the fewest mismatches. The steps, each an ordinary join or aggregation:
 No word, candidate or read is dropped for being frequent. What keeps frequent
 words affordable is that a hit is emitted only where a run of equal bases begins
 (``prev`` differs), not once per word of the run; the votes are recomputed when
-the candidate is verified. Joins carry no broadcast hint: Spark broadcasts a
-small reference by size, and splits hot words of a large one (AQE skew join).
+the candidate is verified. The word and chunk joins carry no hint: Spark broadcasts
+a small reference by size, and splits hot words of a large one (AQE skew join).
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from basewise.functions.decode import reverse_complement
 from basewise.operators.reference import CHUNK, chunk_bases, chunk_of, contig_chunks, contig_lengths, contig_words
+from basewise.session import materialize, small_side
 
 MISMATCH_PENALTY = 5
 MAX_MAPQ = 60
@@ -42,9 +43,8 @@ def explode_pairs(pairs: DataFrame) -> DataFrame:
 
 def count_kmers(seqs: DataFrame, k: int) -> DataFrame:
     """(kmer, n) over every word of column ``seq`` free of ``N``."""
-    words = seqs.where(F.length("seq") >= k).select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - (k - 1)), lambda i: F.substring("seq", i, F.lit(k)))).alias("kmer")
-    )
+    spots = seqs.where(F.length("seq") >= k).select("seq", F.explode(F.sequence(F.lit(1), F.length("seq") - (k - 1))).alias("_i"))
+    words = spots.select(F.substring("seq", F.col("_i"), F.lit(k)).alias("kmer"))
     return words.where(~F.contains("kmer", F.lit("N"))).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -91,7 +91,9 @@ def seed_candidates(seqs: DataFrame, contigs: DataFrame, k: int = 12) -> DataFra
         .where((F.col("prev") != F.col("_ref_prev")) | (F.col("prev") == "N"))
         .select("seq", "strand", "oriented", "ref_idx", (F.col("p") - F.col("i") + 1).alias("pos"))
     )
-    fits = hits.join(contig_lengths(contigs).select("ref_idx", "length"), "ref_idx").where(
+    # One narrow row per contig; a contig may hold a third of all hits.
+    lengths = small_side(contig_lengths(contigs).select("ref_idx", "length"))
+    fits = hits.join(lengths, "ref_idx").where(
         (F.col("pos") >= 1) & (F.col("pos") + F.length("oriented") - 1 <= F.col("length"))
     )
     return fits.select("seq", "strand", "oriented", "ref_idx", "pos").distinct()
@@ -181,12 +183,20 @@ def map_sequences(seqs: DataFrame, contigs: DataFrame, k: int = 12, min_score: i
     return best_hits(scored).where(F.col("score") >= min_score)
 
 
-def map_reads(reads: DataFrame, contigs: DataFrame, k: int = 12, min_score: int = 10) -> DataFrame:
+def map_reads(reads: DataFrame, contigs: DataFrame, k: int = 12, min_score: int = 10, store: bool = True) -> DataFrame:
     """``reads`` (with column ``seq``) plus ref_idx, pos, strand, nm, votes, score, mapq.
 
-    Unmapped reads keep their row with NULLs and quality 0.
+    Unmapped reads keep their row with NULLs and quality 0. ``reads`` is scanned twice,
+    so pass a stored table.
+
+    With ``store`` the result per sequence is written to the shared folder first. The
+    join back is then between two scans, each shuffled for this join alone, which is
+    what Spark needs to split a sequence that a third of the reads share. Turn it off
+    for inputs of bounded size, such as micro-batches.
     """
     mapped = map_sequences(reads.select("seq").distinct(), contigs, k, min_score)
+    if store:
+        mapped = materialize(mapped, "mapped")
     return reads.join(mapped, "seq", "left").select(
         *[F.col(c) for c in reads.columns],
         "ref_idx", "pos", "strand", "nm", "votes", "score", F.coalesce("mapq", F.lit(0)).alias("mapq"),

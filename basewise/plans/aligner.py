@@ -12,9 +12,9 @@ from basewise.sinks import write_records, write_toc
 from basewise.sources.tables import read_pairs
 
 
-def align_pairs(pairs: DataFrame, contigs: DataFrame, k: int = 12, min_score: int = 10, max_insert: int = 1000) -> DataFrame:
-    """SAM rows of every pair; sentinel pairs are left out."""
-    return sam_records(map_reads(explode_pairs(drop_eos(pairs)), contigs, k, min_score), contigs, max_insert)
+def align_pairs(pairs: DataFrame, contigs: DataFrame, k: int = 12, min_score: int = 10, max_insert: int = 1000, store: bool = True) -> DataFrame:
+    """SAM rows of every pair; sentinel pairs are left out. ``store`` is as in :func:`map_reads`."""
+    return sam_records(map_reads(explode_pairs(drop_eos(pairs)), contigs, k, min_score, store), contigs, max_insert)
 
 
 def republish_toc(toc: DataFrame) -> DataFrame:

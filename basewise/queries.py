@@ -20,7 +20,7 @@ from basewise.oracle import oracle
 from basewise.plans.aligner import republish_toc
 from basewise.session import materialize, scratch_path
 from basewise.sinks import write_pairs, write_records, write_sam_text
-from basewise.sources.tables import read_records, read_sam_text, stream_pairs
+from basewise.sources.tables import pairs_from_messages, read_records, read_sam_text, stream_pairs
 from basewise.streaming.pipeline import align_stream, write_stream
 from basewise.streaming.windows import stream_count_windows
 
@@ -225,7 +225,7 @@ def trim_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two adapters: one that occurs in the reads and a usual short one."""
     contigs = fx.contigs(spark, sf_dir).where(F.col("ref_idx") == 0)
     found = contigs.select(F.substring("seq", 11, 20).alias("a")).first()["a"]
-    rows = fx.reads(spark, sf_dir).select("name", "read_no", F.col("seq").alias("bases"), F.col("qual").alias("quals"))
+    rows = fx.stored_reads(spark, sf_dir).select("name", "read_no", F.col("seq").alias("bases"), F.col("qual").alias("quals"))
     done = [
         reads.trim_adapter(rows, a).withColumn("adapter_no", F.lit(i)) for i, a in ((1, found), (2, SHORT_ADAPTER))
     ]
@@ -348,7 +348,8 @@ def encode_prq(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_prq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs encoded as messages and parsed back."""
     value = wire.encode_prq(*map(F.col, ("name", "b1", "q1", "b2", "q2")))
-    return fx.pairs(spark, sf_dir).select(wire.parse_prq(value).alias("_p")).select("_p.*")
+    messages = fx.pairs(spark, sf_dir).select(value.alias("value"), "sample")
+    return pairs_from_messages(messages).drop("sample")
 
 
 @query("select name, read_no, cast(ref_idx as int) as ref_idx from sam")

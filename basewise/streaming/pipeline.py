@@ -19,7 +19,7 @@ def align_stream(
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        write_records(align_pairs(df, contigs), f"{out}/batch={number}", mode="overwrite")
+        write_records(align_pairs(df, contigs, store=False), f"{out}/batch={number}", mode="overwrite")
 
     writer = pairs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
