@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basewise.functions import sam
@@ -12,32 +13,23 @@ from basewise.functions.tags import sam_tags
 from basewise.session import small_side
 
 _READ = ("seq", "qual", "ref_idx", "pos", "pos_end", "strand", "nm", "score", "mapq")
+_MATE = ("ref_idx", "pos", "pos_end", "strand")
 
 
 def with_mates(mapped: DataFrame) -> DataFrame:
     """Each read with its mate's fields (``mate_`` prefix).
 
-    The two reads of a name meet in one two-row group, built by an aggregation with
-    fixed-size state; there is no self-join.
+    The two reads of a name meet in a two-row window: one shuffle and one sort, where
+    a self-join would shuffle the reads twice.
     """
-    known = mapped.withColumn("pos_end", F.col("pos") + F.length("seq") - 1)
-    side = F.struct(*_READ)
-
-    def read(no: int) -> Column:
-        return F.first(F.when(F.col("read_no") == no, side), ignorenulls=True)
-
-    pairs = known.withColumn("read_no", sam.checked_read_no(F.col("read_no"))).groupBy("sample", "name").agg(
-        read(1).alias("_r1"), read(2).alias("_r2")
-    )
-    both = F.array(
-        F.struct(F.lit(1).alias("read_no"), F.col("_r1").alias("own"), F.col("_r2").alias("mate")),
-        F.struct(F.lit(2).alias("read_no"), F.col("_r2").alias("own"), F.col("_r1").alias("mate")),
+    known = mapped.withColumn("pos_end", F.col("pos") + F.length("seq") - 1).withColumn(
+        "read_no", sam.checked_read_no(F.col("read_no"))
     )
-    rows = pairs.select("sample", "name", F.explode(both).alias("_x"))
-    return rows.select(
-        "sample", "name", F.col("_x.read_no").alias("read_no"),
-        *[F.col(f"_x.own.{c}").alias(c) for c in _READ],
-        *[F.col(f"_x.mate.{c}").alias(f"mate_{c}") for c in ("ref_idx", "pos", "pos_end", "strand")],
+    pair = W.partitionBy("sample", "name").orderBy("read_no")
+    fields = F.struct(*_MATE)
+    mate = F.coalesce(F.lead(fields).over(pair), F.lag(fields).over(pair))
+    return known.select("sample", "name", "read_no", *_READ, mate.alias("_m")).select(
+        "sample", "name", "read_no", *_READ, *[F.col(f"_m.{c}").alias(f"mate_{c}") for c in _MATE]
     )
 
 

@@ -54,7 +54,7 @@ def coverage(records: DataFrame) -> DataFrame:
     )
     bin_order = W.partitionBy("ref_idx", "chunk").orderBy("pos")
     depth = deltas.select(
-        "ref_idx", "pos", F.sum("d").over(bin_order).alias("n"), F.lead("pos").over(bin_order).alias("_next")
+        "ref_idx", "pos", F.sum("d").over(bin_order.rowsBetween(W.unboundedPreceding, 0)).alias("n"), F.lead("pos").over(bin_order).alias("_next")
     ).where(F.col("n") > 0)
     # The last event of a bin ends every interval, so "_next" exists where n > 0.
     return depth.select("ref_idx", F.explode(F.sequence(F.col("pos"), F.col("_next") - 1)).alias("pos"), "n")
