@@ -62,7 +62,7 @@ def kmer_spectrum(seqs: DataFrame, k: int) -> DataFrame:
 
 
 def _read_words(seqs: DataFrame, k: int) -> DataFrame:
-    """(seq, strand, oriented, i, word, prev) for both strands of distinct reads."""
+    """(seq, strand, i, word, prev) for both strands of distinct reads."""
     strands = F.array(
         F.struct(F.lit("+").alias("strand"), F.col("seq").alias("oriented")),
         F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("oriented")),
@@ -73,7 +73,7 @@ def _read_words(seqs: DataFrame, k: int) -> DataFrame:
         .select("seq", F.explode(strands).alias("_s"))
         .select("seq", "_s.*", spots.alias("i"))
         .select(
-            "seq", "strand", "oriented", "i",
+            "seq", "strand", "i",
             F.substring("oriented", F.col("i"), F.lit(k)).alias("word"),
             F.when(F.col("i") > 1, F.substring("oriented", F.col("i") - 1, F.lit(1))).otherwise("$").alias("prev"),
         )
@@ -82,21 +82,24 @@ def _read_words(seqs: DataFrame, k: int) -> DataFrame:
 
 
 def seed_candidates(seqs: DataFrame, contigs: DataFrame, k: int = 12) -> DataFrame:
-    """Distinct (seq, strand, oriented, ref_idx, pos) that share a word and fit the contig."""
+    """Distinct (seq, strand, ref_idx, pos) that share a word and fit the contig.
+
+    Only ``seq`` travels; the other strand is made again where it is compared.
+    """
     words = contig_words(contig_chunks(contigs), k).withColumnRenamed("prev", "_ref_prev")
     hits = (
         _read_words(seqs, k)
         .join(words, "word")
         # "N" never equals anything, not even another "N".
         .where((F.col("prev") != F.col("_ref_prev")) | (F.col("prev") == "N"))
-        .select("seq", "strand", "oriented", "ref_idx", (F.col("p") - F.col("i") + 1).alias("pos"))
+        .select("seq", "strand", "ref_idx", (F.col("p") - F.col("i") + 1).alias("pos"))
     )
     # One narrow row per contig; a contig may hold a third of all hits.
     lengths = small_side(contig_lengths(contigs).select("ref_idx", "length"))
     fits = hits.join(lengths, "ref_idx").where(
-        (F.col("pos") >= 1) & (F.col("pos") + F.length("oriented") - 1 <= F.col("length"))
+        (F.col("pos") >= 1) & (F.col("pos") + F.length("seq") - 1 <= F.col("length"))
     )
-    return fits.select("seq", "strand", "oriented", "ref_idx", "pos").distinct()
+    return fits.select("seq", "strand", "ref_idx", "pos").distinct()
 
 
 def _match_string(read: Column, reference: Column) -> Column:
@@ -117,7 +120,7 @@ def _with_score(df: DataFrame, k: int) -> DataFrame:
     )
     nm = F.length(F.translate("_m", "1", ""))
     return df.withColumn("nm", nm).withColumn("votes", votes).withColumn(
-        "score", F.length("oriented") - MISMATCH_PENALTY * F.col("nm")
+        "score", F.length("seq") - MISMATCH_PENALTY * F.col("nm")
     )
 
 
@@ -125,14 +128,15 @@ def verify(candidates: DataFrame, contigs: DataFrame, k: int = 12) -> DataFrame:
     """Candidates with nm, votes and score, counted against the reference bases."""
     too_long = F.raise_error(F.lit(f"reads longer than {CHUNK} bases are not supported")).cast("int")
     keyed = candidates.withColumn(
-        "chunk", F.when(F.length("oriented") <= CHUNK, chunk_of(F.col("pos"))).otherwise(too_long)
+        "chunk", F.when(F.length("seq") <= CHUNK, chunk_of(F.col("pos"))).otherwise(too_long)
     )
-    reference = chunk_bases(F.col("bases"), F.col("chunk"), F.col("pos"), F.length("oriented"))
+    reference = chunk_bases(F.col("bases"), F.col("chunk"), F.col("pos"), F.length("seq"))
+    oriented = F.when(F.col("strand") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
     joined = keyed.join(contig_chunks(contigs).select("ref_idx", "chunk", "bases"), ["ref_idx", "chunk"])
     # A generator is a barrier: a later filter on the score would otherwise be pushed
     # into the join and compare the bases a second time.
-    once = F.explode(F.array(_match_string(F.col("oriented"), reference)))
-    matched = joined.select("seq", "strand", "oriented", "ref_idx", "pos", once.alias("_m"))
+    once = F.explode(F.array(_match_string(oriented, reference)))
+    matched = joined.select("seq", "strand", "ref_idx", "pos", once.alias("_m"))
     return _with_score(matched, k).select("seq", "strand", "ref_idx", "pos", "nm", "votes", "score")
 
 

@@ -32,6 +32,11 @@ def eos_rows(pairs: DataFrame, samples: DataFrame, partitions: int = 1) -> DataF
     return samples.select("sample", F.explode(F.sequence(F.lit(1), F.lit(partitions))).alias("_p")).select(*fill)
 
 
+def rebalance(rows: DataFrame, partitions: int) -> DataFrame:
+    """Rows dealt evenly over ``partitions``, whatever tile or key they came from."""
+    return rows.repartition(partitions)
+
+
 def merge_lanes(*runs: DataFrame) -> DataFrame:
     """Pairs of several lanes or runs as one table; a sample's rows end up together."""
     merged = runs[0]

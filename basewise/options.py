@@ -27,7 +27,10 @@ def parse_properties(text: str) -> dict[str, str]:
 
 @dataclass(frozen=True)
 class Options:
-    """Options of the three programs. The first four must be given."""
+    """Options of the three programs. The first four must be given.
+
+    Names and defaults are fixed values: existing property files must keep working.
+    """
 
     bcl_input_dir: str
     cram_output_dir: str

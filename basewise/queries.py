@@ -288,9 +288,10 @@ def demux_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select sample, count(*) as pairs, cast(count(distinct lane) as int) as lanes from pairs group by sample")
 def merge_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lanes assigned one by one, then merged: a sample's lanes form one output."""
-    rows, sheet = _indexed(spark, sf_dir), fx.sheet(spark, sf_dir)
-    lanes = [demux.demux_assign(rows.where(F.col("lane") == n), sheet).select("lane", "sample") for n in (1, 2)]
+    """Tables of single lanes merged: a sample's lanes form one output."""
+    assigned = demux.demux_assign(_indexed(spark, sf_dir), fx.sheet(spark, sf_dir)).select("lane", "sample")
+    stored = materialize(assigned, "assigned")
+    lanes = [stored.where(F.col("lane") == n) for n in (1, 2)]
     per_lane = routing.merge_lanes(*lanes).groupBy("sample", "lane").agg(F.count(F.lit(1)).alias("n"))
     return per_lane.groupBy("sample").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).cast("int").alias("lanes"))
 

@@ -70,6 +70,37 @@ def test_stops_when_idle(spark, tmp_path):
     assert spark.read.parquet(fresh).count() == 6
 
 
+def test_aligned_stream_ends_at_its_sentinel(spark, sf_dir, tmp_path):
+    from basewise import fixtures as fx
+    from basewise.operators.routing import drop_eos
+    from basewise.sinks import write_records
+    from basewise.sources.tables import read_records, stream_records
+
+    data, out = str(tmp_path / "records"), str(tmp_path / "out")
+    records = fx.records(spark, sf_dir)
+    write_records(records, data)
+    write_records(records.limit(3).withColumn("name", F.lit("EOS")), data, mode="append")
+    live = drop_eos(stream_records(spark, data), aligned=True)
+    write_stream(live, out, str(tmp_path / "state"), available_now=True).awaitTermination()
+    assert read_records(spark, data).count() == records.count() + 3
+    got, want = (d.drop("tags") for d in (read_records(spark, out), records))
+    assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == want.count()
+
+
+def test_rebalance(spark):
+    from basewise.operators.routing import rebalance
+
+    parts = rebalance(spark.range(1000, numPartitions=1), 4).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert [r["count"] for r in parts] == [250] * 4
+
+
+def test_all_index_reads(spark):
+    from basewise.operators.reads import decode_index
+
+    df = spark.createDataFrame([(bytes([4, 5]), bytes([6, 7, 0]))], "i1 binary, i2 binary")
+    assert decode_index(df).first()["idx"] == "AC" and decode_index(df, all_reads=True).first()["idx"] == "ACGTN"
+
+
 def test_options():
     text = "# run\nbcl_input_dir = hdfs:///run\ncram_output_dir: o\nreference=r\nflink_tmp_dir = t\nmismatches = 2\n"
     got = Options.from_dict(text, {"reference": "other"})
