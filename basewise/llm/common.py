@@ -29,13 +29,28 @@ def field(df: DataFrame, column: str, name: str) -> T.StructField:
     return T.StructField(name, df.schema[column].dataType, True)
 
 
-def numbered(df: DataFrame, **columns: Column) -> DataFrame:
-    """The given columns only, under names of our own, and ``row``: one number per row.
+def numbered(df: DataFrame, row_col: str | None = None, /, **columns: Column) -> DataFrame:
+    """The given columns only, under names of our own, and ``row``: ``row_col``, or else a new number per row.
 
     Selecting first keeps extra columns of the input, whatever their names, out of
-    the way. ``row`` depends on the partitions, so store it before it is used twice.
+    the way. A new ``row`` depends on the partitions, so store it before it is used twice.
     """
-    return df.select(F.monotonically_increasing_id().alias("row"), *[c.alias(n) for n, c in columns.items()])
+    row = F.col(f"`{row_col}`").cast("long") if row_col else F.monotonically_increasing_id()
+    return df.select(row.alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def without(df: DataFrame, dropped: Callable[[DataFrame, str], DataFrame], label: str) -> DataFrame:
+    """``df`` less the rows that ``dropped(df, row_col)`` names in a column ``row``.
+
+    Rows are numbered and stored first, so that the number means the same row in both
+    passes even where ids repeat.
+    """
+    row_col = "row"
+    while row_col.lower() in {c.lower() for c in df.columns}:
+        row_col += "_"
+    stored = materialize(df.withColumn(row_col, F.monotonically_increasing_id()), label)
+    gone = materialize(dropped(stored, row_col).select(F.col("row").alias("gone")), f"{label}-gone")
+    return stored.join(gone, stored[row_col] == gone["gone"], "left_anti").drop(row_col)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -99,7 +99,7 @@ def _distinct(rows: DataFrame, words: int, bits: int) -> bool:
     return contents.groupBy("id").count().filter("count > 1").isEmpty()
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, bits: int = 64) -> DataFrame:
     """For each row ``row, id, keep_id, keep_row, group_size, kept, text_sha256``.
 
     Texts are equal when identical after each run of ASCII white space became one
@@ -110,7 +110,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Identifiers start as one 64-bit word. Should two different chunks share one, words
     are added until none do, so that equal lists always mean equal texts.
     """
-    rows = numbered(df, id=F.col(f"`{id_col}`"), text=normalised(text_col))
+    rows = numbered(df, row_col, id=F.col(f"`{id_col}`"), text=normalised(text_col))
     words = 1
     while not _distinct(rows, words, bits):
         words += 1

@@ -10,6 +10,7 @@ length are interchangeable, so a piece finds its place from its rank within its
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -17,7 +18,6 @@ from dataclasses import dataclass, field as slot
 
 import numpy as np
 import pyarrow as pa
-import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +26,8 @@ from basewise.llm.common import field, map_batches, numbered, text_of
 from basewise.session import materialize
 
 SIZE = 2048
-#: Pieces over this share of a sequence are large.
-LARGE = 1 / 8
-#: Numbers of groups that are tried; the plan with the fewest sequences is taken.
-GROUPS = (16, 48, 96)
+#: (share of a sequence over which a piece is large, number of groups) that are tried; the fewest sequences win.
+TRIED = ((1 / 8, 48), (1 / 3, 48), (2 / 5, 48), (1 / 2, 16))
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 200_000
 
@@ -197,17 +195,16 @@ def _grouped(counts: dict[int, int], groups: int) -> list[list[list[int]]]:
     return [g for g in out if g]
 
 
-def make_plan(counts: dict[int, int], size: int = SIZE, groups: tuple[int, ...] = GROUPS) -> Plan:
+def make_plan(counts: dict[int, int], size: int = SIZE, tried: tuple[tuple[float, int], ...] = TRIED) -> Plan:
     """The best plan for so many pieces of each length (1 to ``size``)."""
-    tried = [_plan(counts, size, g) for g in groups] if counts else [Plan(size)]
-    return min(tried, key=lambda p: p.sequences)
+    return min((_plan(counts, size, share, groups) for share, groups in tried), key=lambda p: p.sequences)
 
 
-def _plan(counts: dict[int, int], size: int, groups: int) -> Plan:
+def _plan(counts: dict[int, int], size: int, share: float, groups: int) -> Plan:
     plan, rest = Plan(size), dict(counts)
     if full := rest.pop(size, 0):
         plan.put(size, full, plan.open(full), 0)
-    large = {n: c for n, c in rest.items() if n > size * LARGE}
+    large = {n: c for n, c in rest.items() if n > size * share}
     if large:
         grouped = _grouped(large, min(groups, sum(large.values())))
         # Groups of one rounded length are one size.
