@@ -15,10 +15,13 @@ BROADCAST_ROWS = 500_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a fresh temporary one.
+    Only a local session that names none (a test) gets a fresh temporary one; on a
+    cluster executors would not see each other's files there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file:" + tempfile.mkdtemp(prefix="basewise-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
