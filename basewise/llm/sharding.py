@@ -87,12 +87,13 @@ def assign(rows: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     edges = np.cumsum(communication([counts.get(p, 0) for p in range(parts)], shards, seed), axis=1)
     order = Window.partitionBy("part").orderBy(_random(seed + 1, "row"), "row")
     local = dealt.withColumn("at", F.row_number().over(order) - 1)
+    names = rows.columns
     schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType())])
 
     def send(batch: pa.RecordBatch) -> pa.RecordBatch:
         part, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "at"))
         shard = (edges[part] <= at[:, None]).sum(axis=1)
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rows.columns), pa.array(shard, pa.int32())], names=[*rows.columns, "shard"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(shard, pa.int32())], names=[*names, "shard"])
 
     sent = materialize(map_batches(local, send, schema), "sent")
     # The second permutation is cut into bins by the random order, so a shard is as many tasks as there are bins.
