@@ -89,5 +89,5 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
                sum(chars)::bigint as formatted_chars
         from sized group by conv_id
-    """.replace("\\", "\"),
+    """,
 }
