@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewise.llm import chat, cross_polytope, exact_dedup, packing, piece_bpe, quality, sharding, simhash
+from basewise.llm import chat, cross_polytope, exact_dedup, main_text, packing, piece_bpe, quality, sharding, simhash
 from basewise.llm.common import table
 
 SHARDS = 16
@@ -17,6 +17,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_table(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.search(table(spark, sf_dir, "embeddings"), lambda c: c % 100 == 0)
 
@@ -59,6 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_main_text": op2_main_text,
     "op3_nearest": op3_nearest,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
