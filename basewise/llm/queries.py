@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewise.llm import chat, cross_polytope, exact_dedup, main_text, packing, piece_bpe, quality, sharding, simhash
+from basewise.llm import chat, cross_polytope, exact_dedup, licences, main_text, packing, piece_bpe, quality, sharding, simhash
 from basewise.llm.common import table
 
 SHARDS = 16
@@ -30,6 +30,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.fit(docs))
+    return found.select(F.col("id").alias("doc_id"), "paragraph", "family", "probability", "similarity", "confirmed", "passages")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return piece_bpe.digest_table(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
@@ -66,6 +72,7 @@ QUERIES = {
     "op2_main_text": op2_main_text,
     "op3_nearest": op3_nearest,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_licences": op5_licences,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_chat_format": op7_chat_format,
     "op8_simhash": op8_simhash,
