@@ -11,6 +11,7 @@ length are interchangeable, so a piece finds its place from its rank within its
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -28,35 +29,67 @@ from basewise.session import materialize
 SIZE = 2048
 #: (share of a sequence over which a piece is large, number of groups) that are tried; the fewest sequences win.
 TRIED = ((1 / 8, 48), (1 / 3, 48), (2 / 5, 48), (1 / 2, 16))
-#: Words whose ids a Python worker remembers.
+#: Units of text whose ids a Python worker remembers in each of two generations.
 REMEMBERED = 200_000
 
-_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
-_WORDS: dict[str, dict[str, bytes]] = {}
-_TOKENIZERS: dict = {}
+# White space ends a unit. So does the end of a run of letters before a comma, a full stop or white space, where
+# the tokenizer cuts too; anything else stays in one unit.
+_UNIT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^ \t\n\r\x0b\x0c,.])|[^ \t\n\r\x0b\x0c]++")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+class Words:
+    """Ids of units of text, remembered; units not met for a generation are forgotten."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        # Lower-casing is the tokenizer's own first step; on ASCII any way of doing it is the same.
+        split = [_UNIT.findall(t.lower() if t.isascii() else t) for t in texts]
+        young, old = self.young, self.old
+        missing = set().union(*split).difference(young)
+        fresh = []
+        for unit in missing:
+            if unit in old:
+                young[unit] = old[unit]
+            elif _LETTERS.fullmatch(unit):
+                # Letters below U+0100 are one word to the tokenizer, whose model is asked directly.
+                own = self.model.tokenize(unit.lower().translate(self.letters))
+                young[unit] = struct.pack(f"<{len(own)}I", *[t.id for t in own])
+            else:
+                fresh.append(unit)
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at:at + 4096]
+            for unit, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                own = got.ids
+                young[unit] = struct.pack(f"<{len(own)}I", *own)
+        out = [b"".join(map(young.__getitem__, units)) for units in split]
+        if len(young) > REMEMBERED:
+            self.young, self.old = {}, young
+        return out
+
+
+_WORDS: dict[str, Words] = {}
 
 
 def word_ids(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never joins across it, so the words between
-    ASCII white space are encoded alone, and each once.
+    The tokenizer drops white space and never joins across it, nor across the edge of
+    a run of letters, so units between such places are encoded alone, and each once.
     """
-    if path not in _TOKENIZERS:
-        from tokenizers import Tokenizer
-
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    known = _WORDS.setdefault(path, {})
-    split = [_SPACE.split(t) for t in texts]
-    fresh = list({w for words in split for w in words if w not in known})
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = list({w for words in split for w in words})
-    for at in range(0, len(fresh), 4096):
-        part = fresh[at:at + 4096]
-        for word, got in zip(part, _TOKENIZERS[path].encode_batch_fast(part, add_special_tokens=False)):
-            known[word] = np.array(got.ids, dtype="<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    return _WORDS[path].ids(texts)
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = 0) -> DataFrame:
