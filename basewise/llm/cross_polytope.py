@@ -133,7 +133,7 @@ def search(
     rows = materialize(usable(df, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     asked = rows.filter(is_query(F.col("vec_id")))
     found = materialize(_search(_filed(asked, probes, tables, seed), _filed(rows, 1, tables, seed), k).distinct(), "found")
-    short = asked.join(found.groupBy("query_id").count().filter(F.col("count") >= k), F.col("vec_id") == F.col("query_id"), "left_anti")
+    short = materialize(asked.join(found.groupBy("query_id").count().filter(F.col("count") >= k), F.col("vec_id") == F.col("query_id"), "left_anti"), "short")
     everywhere = lambda df: df.withColumn("dims", F.size("v")).withColumn("place", F.lit(0))
     if not short.isEmpty():
         found = found.union(_search(everywhere(short), everywhere(rows), k)).distinct()

@@ -127,7 +127,7 @@ def write_shards(df: DataFrame, path: str, shards: int = 16, seed: int = 0) -> N
     ``df`` may have columns named ``row``, ``shard`` or ``slot``; they are kept under a
     struct named ``source``, as are all of its columns.
     """
-    stored = materialize(df.select(F.monotonically_increasing_id().alias("row"), F.struct(*[df[c] for c in df.columns]).alias("source")), "whole")
+    stored = materialize(df.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("source")), "whole")
     placed = assign(materialize(stored.select("row"), "rows"), shards, seed)
     whole = stored.join(placed, "row").select("source", "shard", "slot")
     whole.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
