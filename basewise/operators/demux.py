@@ -8,12 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basewise.functions.barcodes import hamming
-from basewise.session import BROADCAST_ROWS, small_side
+from basewise.session import BROADCAST_ROWS, materialize, small_side
 
 UNDETERMINED = "Undetermined"
 
-# Letters a decoded barcode can hold.
-_LETTERS = "ACGTN"
+# Stands for every letter that no sheet barcode holds; such letters differ from all of them alike.
+_OTHER = "*"
+
+
+def _alphabet(sheet: DataFrame) -> str:
+    """Letters of the sheet's barcodes, and one more that is in none of them."""
+    rows = sheet.select(F.explode(F.split("idx", "")).alias("c")).where("c <> ''").distinct().collect()
+    letters = sorted(r["c"] for r in rows)
+    other = _OTHER if _OTHER not in letters else next(c for c in map(chr, range(33, 0xD800)) if c not in letters)
+    return "".join(letters) + other
+
+
+def _canonical(idx: Column, letters: str) -> Column:
+    """``idx`` with each letter that no sheet barcode holds as the last of ``letters``; no distance changes."""
+    kept = "".join(f"\\x{{{ord(c):x}}}" for c in letters)
+    return F.regexp_replace(idx, f"(?s)[^{kept}]", "\\" + letters[-1])
 
 
 def _best(candidates: DataFrame) -> DataFrame:
@@ -27,15 +41,15 @@ def _best(candidates: DataFrame) -> DataFrame:
     )
 
 
-def neighbourhood_size(length: int, mismatches: int) -> int:
-    """Strings over the barcode letters within reach of one sheet barcode or a prefix of it."""
-    others = len(_LETTERS) - 1
+def neighbourhood_size(length: int, mismatches: int, letters: int = 5) -> int:
+    """Strings over so many letters within reach of one sheet barcode or a prefix of it."""
+    others = letters - 1
     return sum(
         comb(n, d) * others**d for n in range(length + 1) for d in range(min(n, mismatches) + 1)
     )
 
 
-def _neighbours(sheet: DataFrame, mismatches: int) -> DataFrame:
+def _neighbours(sheet: DataFrame, mismatches: int, alphabet: str) -> DataFrame:
     """(lane, idx, _sheet_idx): every string within ``mismatches`` of each sheet barcode.
 
     Prefixes count as well, since a shorter barcode is compared on its own length.
@@ -47,7 +61,7 @@ def _neighbours(sheet: DataFrame, mismatches: int) -> DataFrame:
     for _ in range(mismatches):
         # Position 0 stands for "leave as is".
         spots = F.explode(F.sequence(F.lit(0), F.length("idx")))
-        letters = F.when(F.col("_at") == 0, F.array(F.lit(""))).otherwise(F.array(*map(F.lit, _LETTERS)))
+        letters = F.when(F.col("_at") == 0, F.array(F.lit(""))).otherwise(F.array(*map(F.lit, alphabet)))
         changed = F.when(F.col("_at") == 0, F.col("idx")).otherwise(
             F.expr("concat(substring(idx, 1, _at - 1), _letter, substring(idx, _at + 1))")
         )
@@ -60,12 +74,12 @@ def _neighbours(sheet: DataFrame, mismatches: int) -> DataFrame:
     return grown
 
 
-def barcode_table(sheet: DataFrame, mismatches: int = 1) -> DataFrame:
-    """Every barcode that can match, with its best sheet entry.
+def barcode_table(sheet: DataFrame, mismatches: int = 1, alphabet: str | None = None) -> DataFrame:
+    """Every barcode that can match, in canonical letters, with its best sheet entry.
 
     Made from the sheet alone; its size is sheet rows x ``neighbourhood_size``.
     """
-    near = _neighbours(sheet, mismatches)
+    near = _neighbours(sheet, mismatches, alphabet or _alphabet(sheet))
     return _best(near.withColumn("distance", hamming(F.col("idx"), F.col("_sheet_idx"))))
 
 
@@ -107,10 +121,10 @@ def match_distinct(observed: DataFrame, sheet: DataFrame, mismatches: int = 1) -
     return _best(candidates)
 
 
-def _sheet_bound(sheet: DataFrame, mismatches: int) -> int:
+def _sheet_bound(sheet: DataFrame, mismatches: int, letters: int) -> int:
     """Upper bound of the barcode table's rows, from two numbers of the sheet."""
     row = sheet.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("idx")).alias("len")).first()
-    return row["n"] * neighbourhood_size(row["len"] or 0, mismatches)
+    return row["n"] * neighbourhood_size(row["len"] or 0, mismatches, letters)
 
 
 def demux_match(observed: DataFrame, sheet: DataFrame, mismatches: int = 1) -> DataFrame:
@@ -120,11 +134,13 @@ def demux_match(observed: DataFrame, sheet: DataFrame, mismatches: int = 1) -> D
     barcode) wins; ``ties`` above 1 tells that other entries are as near.
     """
     distinct = observed.select("lane", "idx").distinct()
-    if _sheet_bound(sheet, mismatches) <= BROADCAST_ROWS:
-        table = F.broadcast(barcode_table(sheet, mismatches))
+    alphabet = _alphabet(sheet)
+    if _sheet_bound(sheet, mismatches, len(alphabet)) <= BROADCAST_ROWS:
+        table = F.broadcast(barcode_table(sheet, mismatches, alphabet).withColumnRenamed("idx", "_key"))
+        joined = distinct.withColumn("_key", _canonical(F.col("idx"), alphabet)).join(table, ["lane", "_key"], "left")
     else:
-        table = match_distinct(distinct, sheet, mismatches)
-    return distinct.join(table, ["lane", "idx"], "left").select(
+        joined = distinct.join(match_distinct(distinct, sheet, mismatches), ["lane", "idx"], "left")
+    return joined.select(
         "lane", "idx", "best_idx",
         F.coalesce("distance", F.lit(-1)).alias("distance"),
         F.coalesce("ties", F.lit(0)).alias("ties"),
@@ -142,17 +158,20 @@ def demux_assign(
     matched first. That table holds at most the distinct *matching* barcodes; it is
     broadcast only if counted small.
     """
-    if _sheet_bound(sheet, mismatches) <= BROADCAST_ROWS:
-        matches, bounded = barcode_table(sheet, mismatches), True
+    alphabet = _alphabet(sheet)
+    bounded = _sheet_bound(sheet, mismatches, len(alphabet)) <= BROADCAST_ROWS
+    if bounded:
+        matches, key = barcode_table(sheet, mismatches, alphabet), _canonical(F.col("idx"), alphabet)
     else:
-        matches, bounded = match_distinct(clusters.select("lane", "idx").distinct(), sheet, mismatches), False
+        # Stored before it is counted, so that it is made once.
+        matches, key = materialize(match_distinct(clusters.select("lane", "idx").distinct(), sheet, mismatches), "matches"), F.col("idx")
     # One sample per barcode, so that no cluster can match twice.
     names = sheet.groupBy("lane", F.col("idx").alias("best_idx")).agg(F.min("sample").alias("sample"))
     table = matches.join(F.broadcast(names) if bounded else small_side(names), ["lane", "best_idx"]).select(
-        "lane", "idx", "sample"
+        "lane", F.col("idx").alias("_key"), "sample"
     )
     table = F.broadcast(table) if bounded else small_side(table)
-    return clusters.join(table, ["lane", "idx"], "left").select(
+    return clusters.withColumn("_key", key).join(table, ["lane", "_key"], "left").select(
         *[F.col(c) for c in clusters.columns], F.coalesce("sample", F.lit(undet)).alias("sample")
     )
 

@@ -124,20 +124,32 @@ def _with_score(df: DataFrame, k: int) -> DataFrame:
     )
 
 
-def verify(candidates: DataFrame, contigs: DataFrame, k: int = 12) -> DataFrame:
-    """Candidates with nm, votes and score, counted against the reference bases."""
-    too_long = F.raise_error(F.lit(f"reads longer than {CHUNK} bases are not supported")).cast("int")
-    keyed = candidates.withColumn(
-        "chunk", F.when(F.length("seq") <= CHUNK, chunk_of(F.col("pos"))).otherwise(too_long)
+def verify(candidates: DataFrame, contigs: DataFrame, k: int = 12, long_reads: bool = True) -> DataFrame:
+    """Candidates with nm, votes and score, counted against the reference bases.
+
+    A read longer than a chunk is compared piece by piece and its pieces are put
+    together again; ``long_reads`` may be off where no read is that long.
+    """
+    at = F.col("_part") * CHUNK
+    keyed = candidates.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / CHUNK).cast("int"))).alias("_part")) if long_reads else (
+        candidates.withColumn("_part", F.lit(0))
     )
-    reference = chunk_bases(F.col("bases"), F.col("chunk"), F.col("pos"), F.length("seq"))
+    start = F.col("pos") + at
+    keyed = keyed.withColumn("chunk", chunk_of(start))
+    size = F.least(F.lit(CHUNK), F.length("seq") - at)
+    reference = chunk_bases(F.col("bases"), F.col("chunk"), start, size)
     oriented = F.when(F.col("strand") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
+    piece = F.substring(oriented, at + 1, size) if long_reads else oriented
     joined = keyed.join(contig_chunks(contigs).select("ref_idx", "chunk", "bases"), ["ref_idx", "chunk"])
     # A generator is a barrier: a later filter on the score would otherwise be pushed
     # into the join and compare the bases a second time.
-    once = F.explode(F.array(_match_string(oriented, reference)))
-    matched = joined.select("seq", "strand", "ref_idx", "pos", once.alias("_m"))
-    return _with_score(matched, k).select("seq", "strand", "ref_idx", "pos", "nm", "votes", "score")
+    once = F.explode(F.array(_match_string(piece, reference)))
+    names = ["seq", "strand", "ref_idx", "pos"]
+    matched = joined.select(*names, "_part", once.alias("_m"))
+    if long_reads:
+        parts = F.array_sort(F.collect_list(F.struct("_part", "_m")))
+        matched = matched.groupBy(*names).agg(F.array_join(F.transform(parts, lambda p: p["_m"]), "").alias("_m"))
+    return _with_score(matched, k).select(*names, "nm", "votes", "score")
 
 
 def best_hits(scored: DataFrame) -> DataFrame:
@@ -183,7 +195,8 @@ def map_sequences(seqs: DataFrame, contigs: DataFrame, k: int = 12, min_score: i
     """
     if min_score < 1:
         raise ValueError("min_score must be at least 1")
-    scored = verify(seed_candidates(seqs, contigs, k), contigs, k).where(F.col("score") > 0)
+    long_reads = not seqs.where(F.length("seq") > CHUNK).isEmpty()
+    scored = verify(seed_candidates(seqs, contigs, k), contigs, k, long_reads).where(F.col("score") > 0)
     return best_hits(scored).where(F.col("score") >= min_score)
 
 

@@ -291,7 +291,8 @@ def merge_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of single lanes merged: a sample's lanes form one output."""
     assigned = demux.demux_assign(_indexed(spark, sf_dir), fx.sheet(spark, sf_dir)).select("lane", "sample")
     stored = materialize(assigned, "assigned")
-    lanes = [stored.where(F.col("lane") == n) for n in (1, 2)]
+    # A run has a handful of lanes.
+    lanes = [stored.where(F.col("lane") == r["lane"]) for r in stored.select("lane").distinct().collect()]
     per_lane = routing.merge_lanes(*lanes).groupBy("sample", "lane").agg(F.count(F.lit(1)).alias("n"))
     return per_lane.groupBy("sample").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).cast("int").alias("lanes"))
 

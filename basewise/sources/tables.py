@@ -8,25 +8,47 @@ from pyspark.sql import functions as F
 
 from basewise import schemas
 from basewise.functions.wire import parse_prq
+from basewise.session import materialize
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(ref_idx, contig, seq, length, md5), contigs numbered in file order.
 
-    The numbering window runs over one row per contig without its bases.
+    A title is a line that begins with ``>``; its first word names the contig. Lines
+    before the first title belong to none. Two contigs of one name are an error.
+    The numbering window runs over one row per contig without its bases, and the
+    carry between splits over one row per split.
     """
-    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
-    rows = spark.read.text(path, lineSep=">").select(at.alias("_at"), "value").where(F.trim("value") != "").select(
-        "_at", F.split("value", "\n", 2).alias("_p")
+    lines = materialize(
+        spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_row"), F.regexp_replace("value", "\\r$", "").alias("value"),
+        ),
+        "fasta-lines",
     )
-    contigs = rows.select(
-        "_at", F.split(F.trim(F.col("_p")[0]), r"\s+")[0].alias("contig"),
-        F.upper(F.regexp_replace(F.coalesce(F.get("_p", F.lit(1)), F.lit("")), r"\s", "")).alias("seq"),
+    place = F.struct("_file", "_start", "_row")
+    is_title = F.startswith("value", F.lit(">"))
+    titles = lines.where(is_title).select(
+        "_row", F.split(F.trim(F.substring("value", 2, 2**31 - 1)), r"\s+")[0].alias("contig"),
+        (F.row_number().over(W.partitionBy(F.lit(0)).orderBy(place)) - 1).alias("ref_idx"),
     )
-    order = contigs.select("contig", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_at")) - 1).alias("ref_idx"))
-    return contigs.join(order, "contig").select(
-        "ref_idx", "contig", "seq", F.length("seq").alias("length"), F.md5(F.col("seq").cast("binary")).alias("md5")
+    twice = [r["contig"] for r in titles.groupBy("contig").count().where("count > 1").limit(5).collect()]
+    if twice:
+        raise ValueError(f"contigs named more than once: {twice}")
+    # The title of a line: the last one before it in its split, or else in an earlier split.
+    own = F.last(F.when(is_title, F.col("_row")), ignorenulls=True).over(W.partitionBy("_file", "_start").orderBy("_row"))
+    splits = lines.groupBy("_file", "_start").agg(F.max(F.when(is_title, F.col("_row"))).alias("_last"))
+    before = W.partitionBy(F.lit(0)).orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
+    carried = splits.select("_file", "_start", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    bases = lines.select("*", own.alias("_own")).where(~is_title).join(carried, ["_file", "_start"]).select(
+        F.coalesce("_own", "_carried").alias("_title"), place.alias("_at"), F.upper(F.regexp_replace("value", r"\s", "")).alias("_bases")
     )
+    whole = bases.groupBy("_title").agg(F.array_sort(F.collect_list(F.struct("_at", "_bases"))).alias("_l")).select(
+        "_title", F.array_join(F.transform("_l", lambda x: x["_bases"]), "").alias("seq")
+    )
+    return titles.join(whole, F.col("_row") == F.col("_title"), "left").select(
+        "ref_idx", "contig", F.coalesce("seq", F.lit("")).alias("seq")
+    ).select("ref_idx", "contig", "seq", F.length("seq").alias("length"), F.md5(F.col("seq").cast("binary")).alias("md5"))
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:

@@ -104,17 +104,22 @@ def brute_match(lane, idx, sheet, limit):
 
 
 @pytest.mark.parametrize("limit", [0, 1, 2])
-def test_both_demux_paths_against_brute_force(spark, limit):
+def test_both_demux_paths_against_brute_force(spark, limit, monkeypatch):
     rng = random.Random(limit)
     sheet = {(rng.randint(1, 2), "".join(rng.choice("ACG") for _ in range(5))): f"S{i}" for i in range(14)}
     sheet = [(lane, name, idx) for (lane, idx), name in sheet.items()] + [(1, "long", "ACGTACG")]
     seen = {(rng.randint(1, 3), "".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 3, 4, 5, 5, 5, 6, 8])))) for _ in range(400)}
+    seen |= {(1, "ACG."), (1, "acgac"), (2, "AC-GA"), (1, "+++++"), (1, "AC*GA"), (2, ".....")}
     observed = spark.createDataFrame(sorted(seen), "lane int, idx string")
     table = spark.createDataFrame(sheet, "lane int, sample string, idx string")
     want = {(lane, idx): brute_match(lane, idx, sheet, limit) for lane, idx in seen}
-    for best in (demux.barcode_table(table, limit), demux.match_distinct(observed, table, limit)):
-        got = observed.join(best, ["lane", "idx"], "left").collect()
-        assert {(r["lane"], r["idx"]): (r["best_idx"], r["distance"] if r["best_idx"] else -1, r["ties"] or 0) for r in got} == want
+    for bound in (500_000, 0):
+        monkeypatch.setattr(demux, "BROADCAST_ROWS", bound)
+        got = demux.demux_match(observed, table, limit).collect()
+        assert {(r["lane"], r["idx"]): (r["best_idx"], r["distance"], r["ties"]) for r in got} == want
+        names = {(lane, idx): name for lane, name, idx in sheet}
+        samples = {(r["lane"], r["idx"]): r["sample"] for r in demux.demux_assign(observed, table, limit).collect()}
+        assert samples == {k: names.get((k[0], best), "Undetermined") for k, (best, _, _) in want.items()}
     assert demux.neighbourhood_size(2, 1) == 1 + 5 + 9
 
 
@@ -126,6 +131,24 @@ def test_wide_sheet_takes_the_distinct_path(spark, monkeypatch):
     assert got == {1: "A", 2: "Undetermined", 3: "Undetermined", 4: "B"}
 
 
+def test_reads_longer_than_a_chunk(spark):
+    from basewise.operators.mapping import map_sequences
+
+    rng = random.Random(4)
+    contig = "".join(rng.choice("ACGT") for _ in range(6000))
+    long = contig[700:4100]
+    wrong = long[:1500] + "".join({"A": "C", "C": "G", "G": "T", "T": "A"}[c] for c in long[1500:1507]) + long[1507:]
+    back = wrong.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    contigs = spark.createDataFrame([(0, "c", contig)], "ref_idx int, contig string, seq string")
+    seqs = spark.createDataFrame([(long,), (wrong,), (back,), (contig[100:150],)], "seq string")
+    got = {r["seq"]: (r["pos"], r["strand"], r["nm"], r["votes"]) for r in map_sequences(seqs, contigs).collect()}
+    words = lambda *runs: sum(max(0, n - 11) for n in runs)
+    assert got == {
+        long: (701, "+", 0, words(3400)), wrong: (701, "+", 7, words(1500, 1893)), back: (701, "-", 7, words(1500, 1893)),
+        contig[100:150]: (101, "+", 0, words(50)),
+    }
+
+
 def test_hamming(spark):
     df = spark.createDataFrame([("ACGT", "ACGA", 1), ("AC", "TCGA", 1), ("", "A", 0), ("ACG", "AC", None), ("N", "A", 1)], "a string, b string, d int")
     assert all(r[0] == r[1] for r in df.select(barcodes.hamming(F.col("a"), F.col("b")), "d").collect())

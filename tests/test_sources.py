@@ -158,6 +158,22 @@ def test_fasta(spark, tmp_path):
     assert [(r["ref_idx"], r["contig"], r["seq"], r["length"]) for r in rows] == [(0, "c2", "ACGTACG", 7), (1, "c1", "TTTT", 4)]
 
 
+def test_fasta_titles_files_and_splits(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("stray\n>chr1 a->b note\r\nAC GT\r\nac\n>chr2\n>chr3 >x\n" + "ACGTTGCA\n" * 500)
+    (tmp_path / "b.fa").write_text("TTT\n>chr4\nGG\n")
+    want = [(0, "chr1", "ACGTAC"), (1, "chr2", ""), (2, "chr3", "ACGTTGCA" * 500 + "TTT"), (3, "chr4", "GG")]
+    for size in ("128m", "700b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = read_fasta(spark, str(tmp_path)).orderBy("ref_idx").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [(r["ref_idx"], r["contig"], r["seq"]) for r in rows] == want
+    (tmp_path / "b.fa").write_text(">chr1\nGG\n")
+    with pytest.raises(ValueError, match="more than once"):
+        read_fasta(spark, str(tmp_path))
+
+
 def test_text_sinks(spark, tmp_path):
     pairs = spark.createDataFrame([("n1", "AC", "II", "GT", "##", "S1")], "name string, b1 string, q1 string, b2 string, q2 string, sample string")
     write_pair_text(pairs, str(tmp_path / "t"))
