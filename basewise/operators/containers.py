@@ -16,7 +16,7 @@ from pyspark.sql.window import WindowSpec
 
 from basewise.operators.ranking import coordinate_keys, ranked
 from basewise.operators.reference import contig_md5
-from basewise.session import small_side
+from basewise.session import materialize, small_side
 
 # Fixed values of the container rule.
 RECORDS_PER_CONTAINER = 10_000
@@ -83,7 +83,8 @@ def containers_by_coordinate(
     """
     numbered = ranked(records, ["sample"], coordinate_keys(), "_rn")
     runs = numbered.groupBy("sample", "ref_idx").agg(F.count(F.lit(1)).alias("n"))
-    placed = runs.groupBy("sample").applyInPandas(_split_runs(n, m), _RUN_SCHEMA)
+    # Stored before it is counted, so that the records are passed over once.
+    placed = materialize(runs.groupBy("sample").applyInPandas(_split_runs(n, m), _RUN_SCHEMA), "container-runs")
     j = F.col("_rn") - F.col("start")
     in_lead = j < F.col("lead")
     after = j - F.col("lead")
@@ -185,6 +186,14 @@ def detached(records: DataFrame, coordinate_order: bool = True) -> DataFrame:
     return linked.withColumn("detached", F.when(ok, 0).otherwise(1)).drop("_f", "_l", "_n", "_is_first")
 
 
+def mate_links(records: DataFrame, coordinate_order: bool = True) -> DataFrame:
+    """Adds ``next_gap``, ``has_previous`` and ``detached``; a detached record has no links (-1 and 0)."""
+    alone = F.col("detached") == 1
+    return detached(link_mates(records), coordinate_order).withColumn(
+        "next_gap", F.when(alone, F.lit(-1)).otherwise(F.col("next_gap"))
+    ).withColumn("has_previous", F.when(alone, F.lit(0)).otherwise(F.col("has_previous")))
+
+
 def drop_names(records: DataFrame) -> DataFrame:
     """Read names replaced by the number of the fragment in its container, by first record."""
     first = F.min("rec_index").over(W.partitionBy(*_KEY, "name"))

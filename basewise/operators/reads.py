@@ -56,6 +56,14 @@ def to_fastq(reads: DataFrame) -> DataFrame:
     return done.withColumn("bases", decode.bases(F.col("raw"))).withColumn("quals", decode.quals(F.col("raw"))).drop("raw")
 
 
+def trim_pairs(pairs: DataFrame, adapter: str) -> DataFrame:
+    """Pairs with both reads masked from the adapter on."""
+    for bases, quals in (("b1", "q1"), ("b2", "q2")):
+        own = pairs.withColumnsRenamed({bases: "bases", quals: "quals"})
+        pairs = trim_adapter(own, adapter).drop("start").withColumnsRenamed({"bases": bases, "quals": quals})
+    return pairs
+
+
 def trim_adapter(reads: DataFrame, adapter: str, min_overlap: int = 1) -> DataFrame:
     """Masks (bases, quals) from the adapter on; adds ``start``, the first masked offset."""
     if not adapter:

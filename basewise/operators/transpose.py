@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from basewise.operators.layout import CycleRange, number_reads
 from basewise.session import small_side
 
+# Bytes under which the locations of a run may be broadcast.
+LOCATION_BYTES = 128 << 20
+
 
 def _binary(matrix: np.ndarray) -> pa.Array:
     """Rows of a uint8 matrix as a binary array that shares its memory."""
@@ -109,7 +112,7 @@ def transpose(
         heads = filters.withColumn("xy", F.lit(None).cast("binary"))
     else:
         # A block of locations is 8 bytes per cluster: few rows, but wide ones.
-        heads = filters.join(small_side(locations, max_rows=256), "block", "left")
+        heads = filters.join(small_side(locations, max_rows=LOCATION_BYTES // (8 * block_size)), "block", "left")
     layout = number_reads(ranges)
     used = max(r.last for r in ranges)
     rows = calls.where(F.col("cycle").between(1, used)).select(

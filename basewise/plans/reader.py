@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basewise.functions.decode import read_name
 from basewise.operators.demux import demux_assign, table_of_contents
 from basewise.operators.layout import enumerate_tiles, expected_files, missing_files
-from basewise.operators.reads import decode_index, to_read_pairs
+from basewise.operators.reads import decode_index, to_read_pairs, trim_pairs
 from basewise.operators.transpose import transpose
 from basewise.options import Options
 from basewise.sinks import write_pairs, write_toc
@@ -54,8 +54,9 @@ def assign_samples(spark: SparkSession, options: Options, clusters: DataFrame, a
 
 
 def run_pairs(spark: SparkSession, options: Options, missing: str = "error", locs_format: str = "locs") -> DataFrame:
-    """Read pairs of every sample of a run folder."""
-    return to_read_pairs(assign_samples(spark, options, run_clusters(spark, options, missing, locs_format)))
+    """Read pairs of every sample of a run folder, masked from the adapter on if the options name one."""
+    pairs = to_read_pairs(assign_samples(spark, options, run_clusters(spark, options, missing, locs_format)))
+    return trim_pairs(pairs, options.adapter) if options.adapter else pairs
 
 
 def read_run(spark: SparkSession, options: Options, out: str, missing: str = "error") -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basewise.operators.containers import (
     alignment_delta, container_context, container_quality, container_span, containers_by_coordinate,
-    containers_by_count, detached, link_mates,
+    containers_by_count, mate_links,
 )
 from basewise.operators.routing import drop_eos
 from basewise.operators.tracks import coverage, mismatch_track
@@ -17,7 +17,7 @@ from basewise.sources.tables import read_records
 def contain(records: DataFrame, coordinate_order: bool = False) -> DataFrame:
     """Records with every container column. Unsorted by default, as in a live pipeline."""
     placed = containers_by_coordinate(records) if coordinate_order else containers_by_count(records)
-    return detached(link_mates(alignment_delta(placed)), coordinate_order)
+    return mate_links(alignment_delta(placed), coordinate_order)
 
 
 def container_summary(contained: DataFrame) -> DataFrame:

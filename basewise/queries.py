@@ -682,6 +682,28 @@ def detached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.detached(_by_coordinate(spark, sf_dir)).select("name", "read_no", "detached")
 
 
+@query("""
+with changed as (select * replace (cast(tlen + case when read_no = 2 and pos % 3 = 0 then 1 else 0 end as int) as tlen) from by_coord),
+two as (
+  select a.sample, a.container_id, a.name from changed a join changed b
+    on b.sample = a.sample and b.container_id = a.container_id and b.name = a.name
+  where a.rec_index < b.rec_index and a.read_no = 1 and b.read_no = 2 and b.tlen = -a.tlen
+    and a.tlen = case when a.ref_idx >= 0 and a.ref_idx = b.ref_idx then
+      (greatest(a.pos_end, b.pos_end) - least(a.pos, b.pos) + 1) * (case when a.pos <= b.pos then 1 else -1 end) else 0 end),
+pair as (
+  select sample, container_id, name, min(rec_index) as lo, max(rec_index) as hi from changed group by all)
+select r.name, cast(r.read_no as int) as read_no, cast(two.name is null as int) as detached,
+  cast(case when two.name is null or r.rec_index = hi then -1 else hi - r.rec_index - 1 end as int) as next_gap,
+  cast(two.name is not null and r.rec_index > lo as int) as has_previous
+from changed r join pair using (sample, container_id, name)
+left join two on two.sample = r.sample and two.container_id = r.container_id and two.name = r.name""")
+def mate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and detachment together, a third of the second reads with a template length that does not fit."""
+    off = F.when((F.col("read_no") == 2) & (F.col("pos") % 3 == 0), 1).otherwise(0)
+    rows = _by_coordinate(spark, sf_dir).withColumn("tlen", (F.col("tlen") + off).cast("int"))
+    return containers.mate_links(rows).select("name", "read_no", "detached", "next_gap", "has_previous")
+
+
 @query("""
 select sample, container_id, rec_index, cast(dense_rank() over (partition by sample, container_id order by f) as varchar) as name
 from (select *, min(rec_index) over (partition by sample, container_id, name) as f from by_coord)""")
@@ -701,10 +723,10 @@ def mismatch_track(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query('select sample, rn as "rank", name, cast(read_no as int) as read_no from in_order')
 def coordinate_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank of each record in its sample's coordinate order."""
-    return ranking.ranked(fx.records(spark, sf_dir), ["sample"], ranking.coordinate_keys(), "rank").select(
-        "sample", "rank", "name", "read_no"
-    )
+    """Rank of each record in its sample's coordinate order, from its place among the sorted rows."""
+    rows = ranking.coordinate_sort(materialize(fx.records(spark, sf_dir), "records"))
+    placed = materialize(rows.select("sample", "name", "read_no", F.monotonically_increasing_id().alias("at")), "sorted")
+    return ranking.ranked(placed, ["sample"], [F.col("at")], "rank", stored=True).select("sample", "rank", "name", "read_no")
 
 
 @query("""
@@ -741,7 +763,7 @@ def demux_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = reads.decode_index(_transposed(spark, sf_dir))
     rows = demux.demux_assign(keyed, fx.sheet(spark, sf_dir))
     quals = F.concat(decode.quals(F.col("r1")), decode.quals(F.col("r2")))
-    # Sum over the 41 quality letters by how often each was removed: no per-base rows.
+    # Summed inside each row: no per-base rows.
     total = F.aggregate(F.split(quals, ""), F.lit(0), lambda s, c: s + F.ascii(c) - 33)
     per_sample = rows.select("lane", "sample", total.cast("long").alias("q"), F.length(quals).alias("n")).groupBy(
         "lane", "sample"

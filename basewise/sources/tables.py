@@ -10,6 +10,9 @@ from basewise import schemas
 from basewise.functions.wire import parse_prq
 from basewise.session import materialize
 
+# Files of one micro-batch, so that a backlog is not one batch.
+FILES_PER_BATCH = 256
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(ref_idx, contig, seq, length, md5), contigs numbered in file order.
@@ -57,8 +60,8 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_pairs(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Pairs as a stream, from the earliest file."""
-    return spark.readStream.schema(schemas.PAIRS).options(**options).parquet(path)
+    """Pairs as a stream, from the earliest file, at most ``FILES_PER_BATCH`` files at once unless ``options`` say otherwise."""
+    return spark.readStream.schema(schemas.PAIRS).options(**{"maxFilesPerTrigger": FILES_PER_BATCH, **options}).parquet(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -67,8 +70,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_records(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """SAM rows as a stream, from the earliest file."""
-    return spark.readStream.schema(schemas.SAM).options(**options).parquet(path)
+    """SAM rows as a stream, from the earliest file, batches bounded as those of :func:`stream_pairs`."""
+    return spark.readStream.schema(schemas.SAM).options(**{"maxFilesPerTrigger": FILES_PER_BATCH, **options}).parquet(path)
 
 
 def pairs_from_messages(messages: DataFrame, sample: str | None = None) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from run_folder import write_locs, write_manifest, write_sheet, write_tile
 
 from basewise import fixtures as fx
+from basewise.__main__ import PROGRAMS, main
 from basewise.operators.layout import CycleRange
 from basewise.operators.transpose import transpose
-from basewise.options import Options
+from basewise.options import OptionError, Options
 from basewise.plans.aligner import align_run
 from basewise.plans.reader import read_run, run_clusters, run_pairs
 from basewise.plans.writer import write_run
@@ -57,6 +58,33 @@ def test_run_folder_equals_fixture(spark, sf_dir, run_dir, block_size):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
 
 
+def test_adapter_option_masks_pairs(spark, sf_dir, run_dir):
+    plain = fx.pairs(spark, sf_dir).collect()
+    adapter = plain[0]["b1"][25:33]
+    got = {r["name"]: r for r in run_pairs(spark, options(run_dir, adapter=adapter)).collect()}
+    assert len(got) == len(plain)
+    for r in plain:
+        for b, q in (("b1", "q1"), ("b2", "q2")):
+            kept = len(got[r["name"]][b].rstrip("N"))
+            assert len(got[r["name"]][b]) == len(r[b]) and got[r["name"]][b][:kept] == r[b][:kept] and got[r["name"]][q][:kept] == r[q][:kept]
+    assert got[plain[0]["name"]]["b1"] == plain[0]["b1"][:25] + "N" * 11
+
+
+def test_programs_from_the_command_line(spark, sf_dir, run_dir, tmp_path):
+    contigs = fx.contigs(spark, sf_dir).orderBy("ref_idx").collect()
+    (tmp_path / "ref.fa").write_text("".join(f">{c['contig']}\n{c['seq']}\n" for c in contigs))
+    (tmp_path / "run.properties").write_text(
+        f"bcl_input_dir = {run_dir}\ncram_output_dir = nowhere\nreference = {tmp_path}/ref.fa\nflink_tmp_dir = {tmp_path}\n"
+    )
+    common = ["--properties", str(tmp_path / "run.properties"), "--data", str(tmp_path / "data"), f"--cram_output_dir={tmp_path}/out"]
+    for program in PROGRAMS:
+        main([program, *common], spark)
+    assert spark.read.parquet(f"{tmp_path}/out/parquet").count() == 2 * fx.pairs(spark, sf_dir).count()
+    for bad in (["painter"], ["reader"], ["reader", "x"], ["reader", "--data"], ["reader", "--data", "d", "--colour", "red"]):
+        with pytest.raises(OptionError):
+            main(bad, spark)
+
+
 def test_three_programs_in_a_row(spark, sf_dir, run_dir, tmp_path):
     data, out = str(tmp_path / "data"), str(tmp_path / "out")
     contigs = fx.contigs(spark, sf_dir)
