@@ -49,7 +49,7 @@ def run_clusters(
 
 def assign_samples(spark: SparkSession, options: Options, clusters: DataFrame, all_index_reads: bool = False) -> DataFrame:
     """Clusters with ``idx`` and ``sample``. Raw reads are routed; decoding comes after."""
-    sheet = read_sheet(spark, options.sample_sheet)
+    sheet = read_sheet(spark, options.sample_sheet, all_index_reads)
     return demux_assign(decode_index(clusters, all_index_reads), sheet, options.mismatches, options.undet)
 
 

@@ -14,7 +14,7 @@ from basewise.operators.layout import CycleRange
 from basewise.operators.transpose import transpose
 from basewise.options import OptionError, Options
 from basewise.plans.aligner import align_run
-from basewise.plans.reader import read_run, run_clusters, run_pairs
+from basewise.plans.reader import assign_samples, read_run, run_clusters, run_pairs
 from basewise.plans.writer import write_run
 from basewise.sinks import write_fastq, write_pair_text
 from basewise.sources.calls import read_controls
@@ -58,6 +58,18 @@ def test_run_folder_equals_fixture(spark, sf_dir, run_dir, block_size):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
 
 
+def test_dual_index(spark, tmp_path):
+    path = tmp_path / "sheet.csv"
+    path.write_text("[Data]\nLane,Sample_ID,n,p,w,i,index,I5,index2\n1,a,,,,,AC,,GT\n1,b,,,,,AC,,TT\n1,c,,,,,GG\n")
+    assert {tuple(r) for r in read_sheet(spark, str(path), True).collect()} == {(1, "a", "ACGT"), (1, "b", "ACTT"), (1, "c", "GG")}
+    assert {tuple(r) for r in read_sheet(spark, str(path)).collect()} == {(1, "b", "AC"), (1, "c", "GG")}
+    clusters = spark.createDataFrame([("x", 1, bytes([4, 5]), bytes([6, 7])), ("y", 1, bytes([4, 5]), bytes([7, 7]))], "name string, lane int, i1 binary, i2 binary")
+    got = assign_samples(spark, options(tmp_path, sample_sheet=str(path), mismatches="0"), clusters, all_index_reads=True)
+    assert {(r["name"], r["sample"]) for r in got.collect()} == {("x", "a"), ("y", "b")}
+    path.write_text("[Data]\nLane,Sample_ID,n,p,w,i,index\n1,a,,,,,AC\n")
+    assert [tuple(r) for r in read_sheet(spark, str(path), True).collect()] == [(1, "a", "AC")]
+
+
 def test_adapter_option_masks_pairs(spark, sf_dir, run_dir):
     plain = fx.pairs(spark, sf_dir).collect()
     adapter = plain[0]["b1"][25:33]
