@@ -48,7 +48,7 @@ def main(argv: list[str], spark: SparkSession | None = None) -> None:
     if program == "reader":
         read_run(spark, options, data)
     elif program == "aligner":
-        align_run(spark, data, read_fasta(spark, options.reference))
+        align_run(spark, data, read_fasta(spark, options.reference), options.seed_length)
     else:
         write_run(spark, data, read_fasta(spark, options.reference), options.cram_output_dir)
 

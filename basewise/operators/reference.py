@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basewise.functions.decode import reverse_complement
+from basewise.session import materialize
+
 # Own bases per chunk. A chunk row also holds the next chunk's bases and the base
 # before it, so any stretch of up to CHUNK bases lies in one row.
 CHUNK = 1024
+# Letters of the stretches that words are cut from: ``substring`` scans from the start.
+STRETCH = 32
 
 
 def contig_chunks(contigs: DataFrame) -> DataFrame:
@@ -41,16 +48,56 @@ def chunk_bases(bases: Column, chunk: Column, pos: Column, length: Column) -> Co
 
 
 def contig_words(chunks: DataFrame, k: int) -> DataFrame:
-    """(word, prev, ref_idx, p): each k-base word free of ``N`` with the base before it."""
-    at = chunks.select("ref_idx", "chunk", "bases", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("_o"))
+    """(word, prev, next, ref_idx, p): each k-base word free of ``N`` with the bases around it, empty beyond the end."""
+    first = F.explode(F.sequence(F.lit(0), F.col("own") - 1, F.lit(STRETCH)))
+    stretch = F.substring("bases", F.col("_s") + 1, F.lit(STRETCH + k + 1))
+    pieces = chunks.select("ref_idx", "chunk", "own", "bases", first.alias("_s")).select(
+        "ref_idx", (F.col("chunk") * CHUNK + F.col("_s")).alias("_at"), stretch.alias("_t"),
+        F.least(F.lit(STRETCH), F.col("own") - F.col("_s")).alias("_n"),
+    )
+    at = pieces.select("ref_idx", "_at", "_t", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_o"))
     return at.select(
-        F.substring("bases", F.col("_o") + 1, F.lit(k)).alias("word"),
-        F.substring("bases", F.col("_o"), F.lit(1)).alias("prev"),
+        F.substring("_t", F.col("_o") + 1, F.lit(k)).alias("word"),
+        F.substring("_t", F.col("_o"), F.lit(1)).alias("prev"),
+        F.substring("_t", F.col("_o") + k + 1, F.lit(1)).alias("next"),
         "ref_idx",
-        (F.col("chunk") * CHUNK + F.col("_o")).alias("p"),
+        (F.col("_at") + F.col("_o")).alias("p"),
     ).where((F.length("word") == k) & ~F.contains("word", F.lit("N")))
 
 
+def stranded_words(words: DataFrame) -> DataFrame:
+    """(word, before, strand, ref_idx, p): words of both strands, read in their own direction."""
+    both = F.array(
+        F.struct(F.lit("+").alias("strand"), F.col("word"), F.col("prev").alias("before")),
+        F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("word")).alias("word"), reverse_complement(F.col("next")).alias("before")),
+    )
+    return words.select("ref_idx", "p", F.explode(both).alias("_w")).select("_w.*", "ref_idx", "p")
+
+
+@dataclass(frozen=True)
+class ReferenceIndex:
+    """What mapping needs of a reference: words of ``k`` bases of both strands, chunks, and ``contigs`` (ref_idx, contig, length)."""
+
+    k: int
+    contigs: DataFrame
+    chunks: DataFrame
+    words: DataFrame
+
+
+def reference_index(contigs: DataFrame, k: int, store: bool = True) -> ReferenceIndex:
+    """The index of ``contigs``. With ``store`` it is written once to the shared folder, for many uses.
+
+    Chunks are dealt out before words are cut, so a chromosome is not one task.
+    """
+    known = contig_lengths(contigs)
+    if not store:
+        chunks = contig_chunks(contigs)
+        return ReferenceIndex(k, known, chunks, stranded_words(contig_words(chunks, k)))
+    chunks = materialize(contig_chunks(contigs).repartition("ref_idx", "chunk"), "reference-chunks")
+    words = materialize(stranded_words(contig_words(chunks, k)), "reference-words")
+    return ReferenceIndex(k, materialize(known, "reference-contigs"), chunks, words)
+
+
 def contig_lengths(contigs: DataFrame) -> DataFrame:
     """(ref_idx, contig, length)."""
     return contigs.select("ref_idx", "contig", F.length("seq").alias("length"))

@@ -45,6 +45,8 @@ class Options:
     block_size: int = 65_536
     # Read pairs per alignment batch.
     rapi_win: int = 3360
+    # Bases of the words that find candidates: 19 for genomes, about 12 for short reads on small references.
+    seed_length: int = 19
     adapter: str = ""
     kafka_server: str = "127.0.0.1:9092"
     kafka_prq: str = "flink-prq"

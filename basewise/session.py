@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,9 @@ from pyspark.sql import functions as F
 # Row bound under which a narrow dimension table may be broadcast.
 BROADCAST_ROWS = 500_000
 
+# Folder below the application's own, for tables of a bounded life.
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
@@ -27,9 +33,36 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Folder of this application's stored tables."""
+    return f"{shared_dir(spark)}/basewise/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/basewise/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder."""
+    return f"{scratch_dir(spark)}{_SCOPE.get()}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes the tables that this application stored; results must be written elsewhere by then."""
+    _delete(spark, scratch_dir(spark))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end: for work whose results are written inside too, such as a micro-batch."""
+    token = _SCOPE.set(f"{_SCOPE.get()}/scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        path = scratch_dir(spark) + _SCOPE.get()
+        _SCOPE.reset(token)
+        _delete(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -5,21 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from basewise.operators.reference import ReferenceIndex, reference_index
 from basewise.plans.aligner import align_pairs
+from basewise.session import materialize, scratch
 from basewise.sinks import write_records
 
 
 def align_stream(
-    pairs: DataFrame, contigs: DataFrame, out: str, checkpoint: str, available_now: bool = False, every: str = "30 seconds"
+    pairs: DataFrame, reference: DataFrame | ReferenceIndex, out: str, checkpoint: str, available_now: bool = False,
+    every: str = "30 seconds", k: int = 12,
 ) -> StreamingQuery:
     """Maps each micro-batch and writes it to ``out/batch=<n>/sample=<s>``.
 
-    Mapping is per read, so it needs no state across batches. A batch replayed after
-    a failure overwrites its own folder: every pair is written exactly once.
+    Mapping is per read, so it needs no state across batches. A contig table is indexed
+    once, with words of ``k`` bases, not once a batch. A batch replayed after a failure
+    overwrites its own folder: every pair is written exactly once. Read ``out`` when the
+    batch has committed, as a replay replaces files.
     """
+    index = reference if isinstance(reference, ReferenceIndex) else reference_index(reference, k)
 
     def batch(df: DataFrame, number: int) -> None:
-        write_records(align_pairs(df, contigs, store=False), f"{out}/batch={number}", mode="overwrite")
+        with scratch(df.sparkSession):
+            # Stored, as the batch is read for its distinct sequences and for the join back.
+            stored = materialize(df, "batch")
+            write_records(align_pairs(stored, index), f"{out}/batch={number}", mode="overwrite")
 
     writer = pairs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()

@@ -317,3 +317,34 @@ def test_tracks_against_brute_force(spark):
     df = spark.createDataFrame(rows, "ref_idx int, pos int, text string, seq string").withColumn("cigar", cigar.cigar_parse(F.col("text")))
     assert {r["pos"]: r["n"] for r in tracks.coverage(df).collect()} == {p: int(d) for p, d in enumerate(depth) if d}
     assert {r["pos"]: r["n"] for r in tracks.mismatch_track(df, contigs).collect()} == {p: int(d) for p, d in enumerate(wrong) if d}
+
+
+def test_comparison_of_a_batch():
+    import numpy as np
+    import pyarrow as pa
+
+    reads, others = ["ACGTACGT", "ANGT", "A", "ACGTAC"], ["ACGAACGT", "ANGT", "A", "ACGTAC"]
+    nm, votes = mapping.compare(pa.array(["x", *reads])[1:], pa.array(others), np.array([8, 8, 8, 2]), 3)
+    assert nm.tolist() == [1, 1, 0, 0] and votes.tolist() == [1 + 2, 0, 0, 4]
+
+
+def test_stored_tables_are_deleted(spark):
+    import os
+
+    from basewise import session
+
+    with session.scratch(spark):
+        inside = session.scratch_path(spark, "t")
+        session.materialize(spark.range(3), "t")
+    outside = session.materialize(spark.range(3), "t")
+    assert not os.path.exists(os.path.dirname(inside).removeprefix("file:")) and outside.count() == 3
+
+
+def test_index_is_stored_once(spark):
+    rng = random.Random(9)
+    seq = "".join(rng.choice(BASES) for _ in range(2500))
+    contigs = spark.createDataFrame([(0, "c", seq)], "ref_idx int, contig string, seq string")
+    index = reference.reference_index(contigs, 10)
+    assert "Generate" not in index.words._jdf.queryExecution().toString()
+    seqs = spark.createDataFrame([(seq[5:45],), (seq[2400:2440],)], "seq string")
+    assert {r["pos"] for r in mapping.map_sequences(seqs, index).collect()} == {6, 2401}
