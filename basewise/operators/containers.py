@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from basewise.operators.ranking import coordinate_keys, ranked
+from basewise.operators.ranking import coordinate_keys, ranked, ranked_with_counts
 from basewise.operators.reference import contig_md5
 from basewise.session import materialize, small_side
 
@@ -81,9 +81,8 @@ def containers_by_coordinate(
     multi-contig. The rule is sequential but needs only the record count of each
     contig, so it runs over one row per (sample, contig), never over records.
     """
-    numbered = ranked(records, ["sample"], coordinate_keys(), "_rn")
-    runs = numbered.groupBy("sample", "ref_idx").agg(F.count(F.lit(1)).alias("n"))
-    # Stored before it is counted, so that the records are passed over once.
+    numbered, counts = ranked_with_counts(records, ["sample"], coordinate_keys(), "_rn", ["ref_idx"])
+    runs = counts.withColumnRenamed("_n", "n")
     placed = materialize(runs.groupBy("sample").applyInPandas(_split_runs(n, m), _RUN_SCHEMA), "container-runs")
     j = F.col("_rn") - F.col("start")
     in_lead = j < F.col("lead")

@@ -15,21 +15,23 @@ from pyspark.sql import functions as F
 from basewise.session import materialize, small_side
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rn", stored: bool = False) -> DataFrame:
-    """``df`` with a 1-based ``name`` per ``group``, in ``order``.
+def ranked_with_counts(
+    df: DataFrame, group: list[str], order: list[Column], name: str = "rn", by: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``df`` with a 1-based ``name`` per ``group``, in ``order``, and the row counts (``_n``) per ``group`` and ``by``.
 
     ``order`` must be unique inside a group. The sorted rows are written to the
     shared folder, because ranges and row positions must be the same for the
-    counts and for the rows they shift. The counts have one row per range, plus
-    one per group that starts inside a range.
+    counts and for the rows they shift. The counts are made from a stored table with
+    one row per range, plus one per value of ``group`` and ``by`` that starts inside
+    a range, so they cost no pass over the rows.
 
-    Finding the ranges samples the input, which would compute it twice; so it is
-    written first, unless ``stored`` says that ``df`` is a plain scan already.
+    Finding the ranges samples the input: its last stage runs twice, earlier shuffles
+    are reused. Pass a stored table where that last stage is dear.
     """
+    by = by or []
     keys = [F.col(g) for g in group] + list(order)
     row_id = F.monotonically_increasing_id()
-    if not stored:
-        df = materialize(df, "unranked")
     placed = materialize(
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", row_id.alias("_row")).select(
             *df.columns,
@@ -38,16 +40,23 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rn
         ),
         "ranked",
     )
-    counts = materialize(
-        placed.groupBy("_range", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")), "range-counts"
+    fine = materialize(
+        placed.groupBy("_range", *group, *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")), "range-counts"
     )
+    counts = fine.groupBy("_range", *group).agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
     earlier = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     shift = counts.select(
         "_range", *group, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift")
     )
-    return placed.join(small_side(shift), ["_range", *group]).select(
+    numbered = placed.join(small_side(shift), ["_range", *group]).select(
         *df.columns, (F.col("_at") + F.col("_shift")).alias(name)
     )
+    return numbered, fine.groupBy(*group, *by).agg(F.sum("_n").alias("_n"))
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rn") -> DataFrame:
+    """``df`` with a 1-based ``name`` per ``group``, as :func:`ranked_with_counts` has it."""
+    return ranked_with_counts(df, group, order, name)[0]
 
 
 def round_robin(df: DataFrame, slots: int, group: list[str], order: list[Column]) -> DataFrame:

@@ -726,7 +726,7 @@ def coordinate_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank of each record in its sample's coordinate order, from its place among the sorted rows."""
     rows = ranking.coordinate_sort(materialize(fx.records(spark, sf_dir), "records"))
     placed = materialize(rows.select("sample", "name", "read_no", F.monotonically_increasing_id().alias("at")), "sorted")
-    return ranking.ranked(placed, ["sample"], [F.col("at")], "rank", stored=True).select("sample", "rank", "name", "read_no")
+    return ranking.ranked(placed, ["sample"], [F.col("at")], "rank").select("sample", "rank", "name", "read_no")
 
 
 @query("""
@@ -737,7 +737,7 @@ def roundtrip_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, contigs = materialize(fx.records(spark, sf_dir), "records"), fx.contigs(spark, sf_dir)
     parquet, text = scratch_path(spark, "parquet"), scratch_path(spark, "sam")
     write_records(records, parquet)
-    write_sam_text(records, contigs, text, part_records=1000, stored=True)
+    write_sam_text(records, contigs, text, part_records=1000)
     columns = ["name", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "sample", "tags"]
 
     def plain(df: DataFrame) -> DataFrame:
