@@ -20,7 +20,7 @@ from basewise.oracle import oracle
 from basewise.plans.aligner import republish_toc
 from basewise.session import materialize, scratch_path
 from basewise.sinks import write_pairs, write_records, write_sam_text
-from basewise.sources.tables import pairs_from_messages, read_records, read_sam_text, stream_pairs
+from basewise.sources.tables import pairs_from_messages, read_fasta, read_records, read_sam_text, stream_pairs
 from basewise.streaming.pipeline import align_stream, write_stream
 from basewise.streaming.windows import stream_count_windows
 
@@ -752,6 +752,24 @@ def roundtrip_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs[0].unionByName(diffs[1])
 
 
+_HEX = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
+
+
+@query(f"""
+select cast(row_number() over (order by s_suppkey) - 1 as int) as ref_idx, concat('sup', s_suppkey) as contig, seq,
+  cast(length(seq) as int) as length, md5(seq) as md5
+from (select s_suppkey, translate(concat(md5(cast(s_suppkey as varchar)), md5(s_name)), {_HEX}) as seq from supplier)""")
+def fasta_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contig per supplier, written as FASTA with ``>`` and blanks in the titles and read back."""
+    rows = spark.read.schema("s_suppkey bigint, s_name string").parquet(f"{sf_dir}/supplier.parquet")
+    seq = F.expr(f"translate(concat(md5(cast(s_suppkey as string)), md5(s_name)), {_HEX})")
+    title = F.concat(F.lit(">sup"), F.col("s_suppkey").cast("string"), F.lit(" from a->b >c "), "s_name")
+    text = F.concat_ws("\n", title, F.lower(F.substring(seq, 1, 50)), F.substring(seq, 51, 14))
+    path = scratch_path(spark, "fasta")
+    rows.repartitionByRange("s_suppkey").sortWithinPartitions("s_suppkey").select(text.alias("value")).write.text(path)
+    return read_fasta(spark, path)
+
+
 # -------------------------------------------------------------------- flagship
 
 
