@@ -5,10 +5,12 @@ the conversation so far is rendered again and compared with the rendering before
 was added is the span of the new turn. A rendering that does not begin with the one
 before shows a template that rewrites history; it has no spans and is reported.
 
-Rows stream through tasks sorted by conversation and turn. Of a conversation only the
-last turns are held: after ``WINDOW`` turns a new window starts with the last two, and
-must render the second of them as before, so memory and time stay in proportion to
-single turns however long a conversation is.
+Rows stream through tasks sorted by conversation and turn. A template is given all turns
+so far, each time, so time grows with the square of a conversation's turns. Only a
+template that declares itself turn-local (``template.turn_local = True``: what a turn
+adds depends on no other turn) is given a window: after ``WINDOW`` turns a new one
+starts with the last two, and must render the second of them as before, so memory and
+time stay in proportion to single turns however long a conversation is.
 """
 
 from __future__ import annotations
@@ -59,6 +61,9 @@ def marked(turns: list[Turn]) -> str:
     return "".join(f"{OPEN}{escape_role(role)}\n{escape(text)}{CLOSE}" for role, text in turns)
 
 
+marked.turn_local = True
+
+
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
     """Turns read back from the output of ``marked``: role, text, and the place of the escaped text."""
     out, at = [], 0
@@ -82,16 +87,16 @@ class Span:
 
 
 class Renderer:
-    """Spans of the turns of one conversation, given one by one."""
+    """Spans of the turns of one conversation, given one by one; ``window`` counts for turn-local templates only."""
 
     def __init__(self, template: Template, window: int = WINDOW) -> None:
-        self.template, self.window = template, window
+        self.template, self.window = template, window if getattr(template, "turn_local", False) else None
         self.turns: list[Turn] = []
         self.before, self.length, self.last = template([]), 0, ""
         self.head = self.before
 
     def add(self, role: str, text: str) -> Span:
-        if len(self.turns) >= self.window:
+        if self.window and len(self.turns) >= self.window:
             self._slide()
         self.turns.append((role, text))
         now = self.template(self.turns)
@@ -145,7 +150,8 @@ def format_turns(
     are turns of their own; null roles and texts are empty; a null ``conv_id`` is one
     conversation. Joined in order, ``added`` is the formatted conversation. An empty
     table gives no rows; other columns are never read. A template that rewrites history
-    stops the job with ``RewritesHistory``.
+    stops the job with ``RewritesHistory``. Unless the template is turn-local, it renders
+    every prefix of a conversation in full, and the task holds the conversation.
     """
     schema = T.StructType([
         T.StructField("conv_id", df.schema[conv_col].dataType), T.StructField("position", T.LongType()), T.StructField("role", T.StringType()),
