@@ -53,8 +53,9 @@ class Words:
         self.old: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        # Lower-casing is the tokenizer's own first step; on ASCII any way of doing it is the same.
-        split = [_UNIT.findall(t.lower() if t.isascii() else t) for t in texts]
+        # The tokenizer finds its markers (<|endoftext|>) before it lower-cases, so a text that may hold one goes to it as it is.
+        # Elsewhere lower-casing is its first step; on ASCII any way of doing it is the same.
+        split = [_UNIT.findall(t.lower() if t.isascii() and "<|" not in t else t) for t in texts]
         young, old = self.young, self.old
         missing = set().union(*split).difference(young)
         fresh = []
