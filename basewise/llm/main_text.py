@@ -4,8 +4,9 @@ A page becomes blocks of text, each with the path of block elements from the roo
 it. For each path, text length and punctuation are summed over its blocks and divided
 by their number; the two ratios and the share of text outside links are multiplied, the
 product is smoothed over neighbouring blocks, and blocks under a multiple of the spread
-are dropped. The element that holds the rest is the article; all of it that is no
-boilerplate is kept, in page order.
+are set aside. The element that holds the rest is the article; all of it that is no
+boilerplate is kept, in page order. On pages without an article tag, blocks of links
+whose path is low in the whole page are boilerplate too.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ _BOILERPLATE = frozenset(
 _CONTENT = frozenset("article content main post entry story text body articlebody".split())
 _ENDS_ITEM = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _HOLDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+#: Elements that hold a part of an article, never the whole beside headings and lists.
+_PARTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table figure".split())
 _NO_HINT = frozenset(("html", "body", "article", "main"))
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？、؟।]")
@@ -167,15 +170,19 @@ class _Page(HTMLParser):
         return self.blocks
 
 
-def path_scores(blocks: list[Block]) -> np.ndarray:
-    """Each block's score: the fused ratios of its path, smoothed over neighbours."""
+def path_ratios(blocks: list[Block]) -> np.ndarray:
+    """The fused ratios of each block's path."""
     sums = defaultdict(lambda: np.zeros(4))
     for b in blocks:
         sums[b.path] += (1, len(b.text), len(_PUNCTUATION.findall(b.text)), b.linked)
     fused = {}
     for path, (n, length, marks, linked) in sums.items():
         fused[path] = (length / n) * (1 + marks / n) * (1 - linked / length)
-    raw = np.array([fused[b.path] for b in blocks])
+    return np.array([fused[b.path] for b in blocks])
+
+
+def path_scores(raw: np.ndarray) -> np.ndarray:
+    """Each block's score: the ratios smoothed over neighbours."""
     reach = int(3 * SMOOTH)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SMOOTH) ** 2)
     weight = np.convolve(np.ones(len(raw)), kernel)[reach:reach + len(raw)]
@@ -199,7 +206,7 @@ def _article(page: _Page, blocks: list[Block], chosen: np.ndarray) -> tuple[int,
     # The deepest element with nearly all of the chosen text.
     best = 0
     for e in range(1, len(weight)):
-        if page.parents[e] == best and weight[e] >= 0.9 * weight[0]:
+        if page.parents[e] == best and page.tags[e] not in _PARTS and weight[e] >= 0.9 * weight[0]:
             best = e
     return best, False
 
@@ -219,7 +226,8 @@ def extract(html: str | None) -> str:
             break
     else:
         return ""
-    scores = path_scores(blocks)
+    ratios = path_ratios(blocks)
+    scores = path_scores(ratios)
     chosen = scores >= THRESHOLD * scores.std()
     if scores.max() == 0:
         chosen[:] = True
@@ -230,15 +238,9 @@ def extract(html: str | None) -> str:
         inside[e] = inside[up]
     own = np.array([inside[b.element] for b in blocks])
     if not named:
-        # Without a tag that says so, what lies between chosen blocks stays, and headings right before them.
-        at = np.flatnonzero(chosen & own)
-        between = np.zeros(len(blocks), dtype=bool)
-        if len(at):
-            first = at[0]
-            while first and own[first - 1] and re.fullmatch("h[1-6]", page.tags[blocks[first - 1].element]):
-                first -= 1
-            between[first:at[-1] + 1] = True
-        own &= between & np.array([b.linked < 0.8 * len(b.text) for b in blocks])
+        # Without a tag that says so, links go whose path is low in the page; a low path alone (lists, tables, last words) stays.
+        low = ratios < THRESHOLD * scores.std()
+        own &= ~(low & np.array([b.linked >= 0.8 * len(b.text) for b in blocks]))
     return "\n".join(b.text for b, keep in zip(blocks, own) if keep)
 
 
