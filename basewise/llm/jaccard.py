@@ -1,32 +1,30 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles.
-
-Shingles get one order for all texts: rare ones first, by hash. Two texts as similar as
-asked share at least ``SHARED`` of the first few of each in that order (prefix filter),
-so an equality join on those finds every such pair, and each is verified on its text.
-The order is free, so a bounded sample may tell which shingles are common: that costs
-or saves work, never a pair. In buckets of many texts each is compared with one of them
-first, and what that has linked is not paired again.
+"""Word shingles, exact verification of pairs on whole texts, and an exact join for crowds.
+
+``verified`` moves only the texts of its pairs, each once for every partner it leads.
+``crowded_links`` finds every similar pair among texts too many for pairing bucket by
+bucket: shingles are put in one order, rare ones first by exact counts; two similar
+texts share one of the first few of each (prefix filter), far enough to the front that
+the rest can still suffice (position filter), and their sizes are alike.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basewise.llm.common import components, map_batches, numbered, text_of
-from basewise.session import materialize
+from basewise.llm.common import components, map_batches, slices
+from basewise.session import materialize, small_side
 
 WORDS, LEAST = 5, 0.8
-#: Shingles of the prefix that a pair must share; texts in a bucket from which on it is linked by one text first.
-SHARED, CROWD = 3, 16
-#: Texts of the sample that shows common shingles, how often a common one is there, and how many are remembered.
-SAMPLE, COMMON, REMEMBERED = 20_000, 5, 100_000
+#: Partners that one copy of a leading text serves, and texts in a bucket from which on one of them is compared first.
+LED, CROWD = 512, 16
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -37,133 +35,134 @@ def tokens_of(text: str) -> list[bytes]:
 def shingles(text: str, words: int = WORDS) -> set[bytes]:
     """A text with fewer words is one shingle, one without words has none."""
     tokens = tokens_of(text)
-    return {b" ".join(tokens[i:i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else set()
+    if not tokens:
+        return set()
+    joined, ends, at = b" ".join(tokens), [], -1
+    for token in tokens:
+        at += len(token) + 1
+        ends.append(at)
+    if len(tokens) <= words:
+        return {joined}
+    starts = [0, *[e + 1 for e in ends[:len(tokens) - words]]]
+    return {joined[a:b] for a, b in zip(starts, ends[words - 1:])}
 
 
-def overlap(size: int, least: float = LEAST) -> int:
-    """Shingles that a set of ``size`` shares at least with any set as similar as ``least``."""
-    return math.ceil(least * size - 1e-9)
+def percent(least: float) -> int:
+    """Thresholds are whole per cents, so that comparisons are exact in integers."""
+    return round(100 * least)
 
 
 def similar(a: set[bytes], b: set[bytes], least: float = LEAST) -> bool:
     both = len(a & b)
-    return both >= least * (len(a) + len(b) - both) - 1e-9
+    return 100 * both >= percent(least) * (len(a) + len(b) - both)
+
 
+def sizes_near(x: Column, y: Column, least: float) -> Column:
+    """Sets whose sizes differ more cannot be similar enough."""
+    return F.lit(100) * F.least(x, y) >= F.lit(percent(least)) * F.greatest(x, y)
 
-def _hashes(text: str, words: int) -> np.ndarray:
-    """XXH64 of the distinct shingles, as signed longs. Equal hashes of different shingles would only add candidates."""
+
+def hashes(found: set[bytes]) -> np.ndarray:
+    """XXH64 of shingles, unsigned."""
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(s) for s in shingles(text, words)], dtype=np.uint64).view(np.int64)
+    return np.array([digest(s) for s in found], dtype=np.uint64)
 
 
-def _common(rows: DataFrame, count: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most common shingles, sorted, and how often each is in the sample: at most REMEMBERED."""
-    some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, -(-count // SAMPLE)))) == 0).select("text")
+def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """Those of the distinct pairs ``a, b`` whose texts (``row, text``) are similar on their full sets.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([_hashes(t, words) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))], names=["tokens"])
+    Texts outside the pairs do not move. A text ``a`` leads its partners: it moves once
+    for every ``LED`` of them, so one that leads a third of all texts is many tasks.
+    """
+    led = pairs.groupBy("a").agg(F.ceil(F.count("*") / LED).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+    followers = pairs.join(led, "a").select(F.col("b").alias("node"), F.col("a").alias("lead"), part.alias("part"), F.col("b").alias("other"))
+    leaders = led.select(F.col("a").alias("node"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    moves = materialize(followers.unionByName(leaders.withColumn("other", F.lit(None).cast("long"))), "moves")
+    wanted = moves.select(F.col("node").alias("row")).distinct()
+    found = texts.select("row", "text").join(small_side(wanted), "row", "left_semi")
+    rows = moves.join(found, moves["node"] == found["row"]).select("lead", "part", "other", "text")
+    # Nulls sort first, so a leader precedes those it leads.
+    rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "other")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-    seen = map_batches(some, run, T.StructType([T.StructField("tokens", T.ArrayType(T.LongType()))])).select(F.explode("tokens").alias("token"))
-    top = seen.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(REMEMBERED)
-    found = sorted((r["token"], r["n"]) for r in top.collect())
-    return np.array([t for t, _ in found], dtype=np.int64), np.array([n for _, n in found], dtype=np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: set[bytes] = set()
+        for batch in slices(batches):
+            a, b = [], []
+            for lead, other, text in zip(batch.column("lead").to_pylist(), batch.column("other").to_pylist(), batch.column("text")):
+                if other is None:
+                    own = shingles(text.as_py(), words)
+                elif similar(own, shingles(text.as_py(), words), least):
+                    a.append(lead)
+                    b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    return rows.mapInArrow(run, schema)
 
-def _sketches(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, least: float) -> DataFrame:
-    """``row, id, text_key, size, tokens`` of each row: 128-bit key of the normalised text, number of shingles, prefix."""
-    known, often = common
-    schema = T.StructType([
-        rows.schema["row"], rows.schema["id"], T.StructField("text_key", T.BinaryType()), T.StructField("size", T.IntegerType()),
-        T.StructField("tokens", T.ArrayType(T.LongType())),
-    ])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, sizes, prefixes = [], [], []
-        for text in batch.column("text").to_pylist():
-            keys.append(xxhash.xxh3_128_digest(b" ".join(tokens_of(text))))
-            own = _hashes(text, words)
-            rank = np.zeros(len(own), dtype=np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                rank = np.where(known[at] == own, often[at], 0)
-            need = overlap(len(own), least)
-            sizes.append(len(own))
-            prefixes.append(own[np.lexsort((own, rank))[:len(own) - need + min(SHARED, need)]])
-        return pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
-            names=schema.fieldNames(),
-        )
-
-    return map_batches(rows, run, schema)
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of ``a, b`` whose texts are similar enough."""
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+def hub_pairs(buckets: DataFrame, least: float, near: Column | None = None) -> DataFrame:
+    """``a, b``: the one text of each bucket (``bucket, node, size`` and more) that all others of it are compared with first.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())
-        return batch.select(["a", "b"]).filter(pa.array([similar(shingles(x, words), shingles(y, words), least) for x, y in texts], pa.bool_()))
+    The order of nodes is one for all buckets, so that a group meets few different hubs.
+    """
+    order = F.struct(F.xxhash64("node").alias("h"), F.struct(*buckets.columns).alias("is"))
+    hubs = buckets.groupBy("bucket").agg(F.min(order)["is"].alias("hub"))
+    met = buckets.join(hubs, "bucket").filter(F.col("node") != F.col("hub.node")).filter(sizes_near(F.col("size"), F.col("hub.size"), least))
+    met = met.filter(near) if near is not None else met
+    return met.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
 
-    one = rows.select(F.col("row").alias("a"), F.col("text").alias("ta"))
-    two = rows.select(F.col("row").alias("b"), F.col("text").alias("tb"))
-    return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb"), run, schema)
 
+def relabelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with ``label``: the component that their ``node`` is in so far."""
+    return rows.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
 
-def links(rows: DataFrame, sketches: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """``a, b`` of similar pairs of the distinct texts ``sketches`` (``row, size, tokens``).
 
-    Every similar pair is linked or lies in one component of linked ones.
-    """
-    bucket = Window.partitionBy("token")
-    one = F.min(F.struct(F.xxhash64(F.pmod("token", F.lit(4)), "node").alias("h"), "node", "size")).over(bucket)
-    shared = materialize(
-        sketches.select(F.explode("tokens").alias("token"), F.col("row").alias("node"), "size")
-        .select("*", F.count("*").over(bucket).alias("texts"), one.alias("one")).filter("texts > 1")
-        .select("token", "node", "size", "texts", F.col("one.node").alias("hub"), F.col("one.size").alias("hub_size")),
-        "shared-shingles",
-    )
-    near = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
-    hubs = shared.filter((F.col("texts") > CROWD) & (F.col("node") != F.col("hub")) & near(F.col("size"), F.col("hub_size")))
-    hubs = hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    first = materialize(_verified(hubs, rows, words, least), "hub-links")
-    roots = components(first)
-    labelled = shared.join(roots, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("label"))
-    labelled = labelled.withColumn("least", F.min("label").over(bucket)).withColumn("most", F.max("label").over(bucket))
-    open_ = materialize(labelled.filter("least <> most").drop("least", "most"), "open-shingles")
-    a, b = open_.alias("a"), open_.alias("b")
-    met = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & near(F.col("a.size"), F.col("b.size"))
-    need = F.least(F.lit(SHARED), F.ceil(F.lit(least) * F.col("size") - 1e-9))
-    pairs = (
-        a.join(b, met).groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        .agg(F.count("*").alias("both"), F.min(F.least("a.size", "b.size")).alias("size")).filter(F.col("both") >= need).select("a", "b")
-    )
-    return first.union(_verified(materialize(pairs, "candidates"), rows, words, least))
-
-
-def near_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, words: int = WORDS, least: float = LEAST
-) -> DataFrame:
-    """For each row ``row, id, component_id, keep_row``.
-
-    Texts are linked if the Jaccard similarity of their sets of ``words``-word shingles is
-    ``least`` or more. ``component_id`` is the smallest id reachable over links (null
-    ids last), ``keep_row`` the row that holds it (of several, the first read). Texts
-    equal but for case and white space are linked, so are all without words; null text
-    counts as empty. An empty table gives no rows; other columns are never read.
-    ``row_col`` may name a stored column of unique numbers to serve as ``row``.
-    """
-    rows = numbered(df, row_col, id=F.col(f"`{id_col}`"), text=text_of(text_col))
-    if not row_col:
-        rows = materialize(rows, "near-rows")
-    sketches = materialize(_sketches(rows, _common(rows, rows.count(), words), words, least), "sketches")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    # One row a text: copies are never paired.
-    heads = materialize(sketches.groupBy("text_key").agg(first, F.min("row").alias("node")), "heads")
-    distinct = sketches.join(heads, sketches["row"] == heads["node"], "left_semi").select("row", "size", "tokens")
-    roots = components(links(rows, distinct, words, least))
-    named = materialize(heads.join(roots, "node", "left").select("text_key", "first", F.coalesce("root", "node").alias("root")), "named-heads")
-    best = materialize(named.groupBy("root").agg(F.min("first").alias("best")).join(named, "root").select("text_key", "best"), "best")
-    return sketches.select("row", "id", "text_key").join(best, "text_key").select(
-        "row", "id", F.col("best.id").alias("component_id"), F.col("best.row").alias("keep_row")
-    )
+def open_buckets(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that still hold several labels, with ``texts``, their number."""
+    left = rows.groupBy("bucket").agg(F.count("*").alias("texts"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return rows.join(left.filter("low <> high").select("bucket", "texts"), "bucket")
+
+
+def _prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """``bucket, node, size, place``: the shared shingles among the first of each text, rare ones first, with their places."""
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens = [np.unique(hashes(shingles(t.as_py(), words))).view(np.int64) for t in batch.column("text")]
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "tokens"])
+
+    sets = materialize(map_batches(texts.select("row", "text"), run, schema), "crowd-sets")
+    each = sets.select("node", F.size("tokens").alias("size"), F.explode("tokens").alias("bucket"))
+    counts = each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = each.join(counts, "bucket")
+    own = Window.partitionBy("node")  # one text
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "bucket")) - 1
+    # A similar set shares at least this many, so one of them is among the first ``size - need + 1``.
+    need = F.ceil(F.col("size") * F.lit(percent(least)) / 100 - 1e-9)
+    return shared.withColumn("place", place).filter(F.col("place") <= F.col("size") - need).select("bucket", "node", "size", "place")
+
+
+def _reach(size: str, place: str, size2: str, place2: str, least: float) -> Column:
+    """Whether sets that meet first at these places can still share enough."""
+    rest = F.least(F.col(size) - F.col(place), F.col(size2) - F.col(place2))
+    return rest * (100 + percent(least)) >= F.lit(percent(least)) * (F.col(size) + F.col(size2))
+
+
+def crowded_links(texts: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """``a, b``: every similar pair of the distinct ``texts`` (``row, text``), or a chain of such pairs."""
+    prefixes = materialize(_prefixes(texts, words, least), "crowd-prefixes")
+    often = prefixes.groupBy("bucket").agg(F.count("*").alias("texts")).filter(F.col("texts") > CROWD).select("bucket")
+    first = hub_pairs(prefixes.join(often, "bucket"), least, _reach("size", "place", "hub.size", "hub.place", least))
+    first = materialize(verified(materialize(first, "crowd-hubs"), texts, words, least), "crowd-hub-links")
+    left = open_buckets(relabelled(prefixes, components(first)))
+    # Similar sizes lie in one band or in neighbouring ones.
+    left = left.withColumn("band", F.floor(F.log("size") / math.log(100 / percent(least))))
+    left = materialize(left, "crowd-open")
+    a = left.select("*", F.explode(F.array("band", F.col("band") + 1)).alias("met")).alias("a")
+    b = left.alias("b")
+    meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.met") == F.col("b.band")) & (F.col("a.label") != F.col("b.label"))
+    meet &= (F.col("a.band") < F.col("b.band")) | (F.col("a.node") < F.col("b.node"))
+    meet &= sizes_near(F.col("a.size"), F.col("b.size"), least) & _reach("a.size", "a.place", "b.size", "b.place", least)
+    pairs = materialize(a.join(b, meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "crowd-pairs")
+    return first.union(verified(pairs, texts, words, least))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewise.llm import chat, cross_polytope, exact_dedup, licences, main_text, packing, piece_bpe, quality, sharding, simhash
+from basewise.llm import chat, cross_polytope, exact_dedup, licences, main_text, packing, piece_bpe, quality, sharding, simhash, super_minhash
 from basewise.llm.common import table
 
 SHARDS = 16
@@ -67,6 +67,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
 
 
+def op11_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = super_minhash.near_groups(table(spark, sf_dir, "documents"), least=0.85)
+    return groups.select(
+        F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_main_text": op2_main_text,
@@ -78,6 +85,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op11_super_minhash": op11_super_minhash,
 }
 
 ORACLES = {
@@ -107,4 +115,29 @@ ORACLES = {
                sum(chars)::bigint as formatted_chars
         from sized group by conv_id
     """,
+    "op11_super_minhash": r"""
+        with recursive tokens as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+            from documents
+        ),
+        shingles as (
+            select distinct doc_id, array_to_string(words[i:i + 4], ' ') as shingle
+            from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) as i from tokens where len(words) > 0)
+        ),
+        sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+        both_sides as (
+            select a.doc_id as a, b.doc_id as b, count(*) as n
+            from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all
+        ),
+        links as (
+            select i.a, i.b from both_sides i join sizes x on x.doc_id = i.a join sizes y on y.doc_id = i.b where 100 * i.n >= 85 * (x.n + y.n - i.n)
+        ),
+        reach as (
+            select doc_id as node, doc_id as seen from documents
+            union select r.node, l.b from reach r join links l on l.a = r.seen
+        ),
+        best as (select node, min(seen) as component_id from reach group by node)
+        select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, b.component_id, d.doc_id = b.component_id as kept
+        from documents d left join sizes s on s.doc_id = d.doc_id join best b on b.node = d.doc_id
+    """,
 }

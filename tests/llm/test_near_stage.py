@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from basewise.llm import jaccard
+from basewise.llm import jaccard, super_minhash
 from basewise.llm.common import table
 
 
@@ -51,10 +51,11 @@ def made():
 @pytest.mark.parametrize("crowd", [1, 16])
 def test_links_as_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(super_minhash, "CROWD", crowd)
     texts = made()
     best = brute(texts)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, token string").repartition(3)
-    got = {r.id: r.component_id for r in jaccard.near_groups(docs).collect()}
+    got = {r.id: r.component_id for r in super_minhash.near_groups(docs, least=0.8, empty_linked=True).collect()}
     assert got == best and 20 < len(set(best.values())) < len(texts)
 
 
@@ -68,4 +69,4 @@ def test_near_stage_drops_near_copies(spark):
 
 
 def test_no_rows(spark):
-    assert jaccard.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert super_minhash.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -1,14 +1,13 @@
 """The pipeline stage by stage against brute force, and the queries with a SQL text."""
 
 import re
-from collections import defaultdict
 
 import pytest
 from parity import compare
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from basewise.llm import quality, simhash
+from basewise.llm import quality
 from basewise.llm.common import table
 from basewise.llm.queries import ORACLES, QUERIES
 
@@ -20,7 +19,7 @@ def test_query_equals_oracle(spark, duck, sf_dir, name):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
@@ -39,21 +38,17 @@ def test_stages(spark, sf_dir):
         keep.setdefault(re.sub("[ \t-\r]+", " ", r.text), r.doc_id)
     assert second.columns == repeated.columns and sorted(r.doc_id for r in second.collect()) == sorted(keep.values())
 
-    prints = {r.doc_id: simhash.fingerprint(r.text) for r in rows}
-    near = defaultdict(set)
-    for a in prints:
-        near[a] = {b for b in prints if (prints[a] ^ prints[b]).bit_count() <= 2}
-    best = {a: a for a in prints}
-    for _ in rows:
-        moved = {a: min(best[b] for b in near[a]) for a in prints}
-        if moved == best:
-            break
+    words = {r.doc_id: r.text.encode().lower().split() for r in rows}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    near = {a: [b for b in sets if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])] for a in sets}
+    best = {a: a for a in sets}
+    while (moved := {a: min(best[b] for b in near[a]) for a in sets}) != best:
         best = moved
     third = corpus_pipeline.near_stage(spark, docs, sf_dir)
     assert third.columns == docs.columns and sorted(r.doc_id for r in third.collect()) == sorted(set(best.values()))
 
     packed = corpus_pipeline.packing_stage(spark, docs, sf_dir)
-    assert {r.doc_id for r in packed.collect()} == set(prints)
+    assert {r.doc_id for r in packed.collect()} == set(sets)
 
 
 def test_run(spark, sf_dir):
