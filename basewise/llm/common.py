@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +13,8 @@ from pyspark.sql import types as T
 
 from basewise.session import materialize
 
-#: Rows of one Arrow batch handed to Python code at once; long texts keep batches well below memory.
-SLICE = 512
+#: Rows of one Arrow batch handed to Python code at once, and their bytes, unless one row has more.
+SLICE, SLICE_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +56,27 @@ def without(df: DataFrame, dropped: Callable[[DataFrame, str], DataFrame], label
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of at most ``SLICE`` rows and ``SLICE_BYTES`` bytes; a row is never cut."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
+        open_ = [batch.slice(at, SLICE) for at in reversed(range(0, batch.num_rows, SLICE))]
+        while open_:
+            part = open_.pop()
+            if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+                half = part.num_rows // 2
+                open_ += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+def per_process(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a Python worker process, which serves many tasks.
+
+    This package travels with each task, so its own globals are new in every one.
+    """
+    held = sys.modules.setdefault("basewise_worker_state", ModuleType("basewise_worker_state")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
 
 
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewise.llm import chat, cross_polytope, exact_dedup, licences, main_text, packing, piece_bpe, quality, sharding, simhash, super_minhash
+from basewise.llm import alignment, chat, cross_polytope, exact_dedup, licences, main_text, packing, piece_bpe, quality, sharding, simhash, super_minhash
 from basewise.llm.common import table
 
 SHARDS = 16
@@ -74,6 +74,12 @@ def op11_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    aligned = alignment.align_table(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_main_text": op2_main_text,
@@ -86,6 +92,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
     "op11_super_minhash": op11_super_minhash,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 ORACLES = {
