@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewise.llm import alignment, chat, cross_polytope, exact_dedup, licences, main_text, packing, piece_bpe, quality, sharding, simhash, super_minhash
+from basewise.llm import alignment, chat, cross_polytope, exact_dedup, lexical, licences, main_text, packing, piece_bpe, quality, sharding, simhash, super_minhash
 from basewise.llm.common import table
 
 SHARDS = 16
@@ -80,6 +80,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.withColumnRenamed("id", "doc_id")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_main_text": op2_main_text,
@@ -93,6 +97,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_super_minhash": op11_super_minhash,
     "op12_token_alignment": op12_token_alignment,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES = {
@@ -147,4 +152,26 @@ ORACLES = {
         select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, b.component_id, d.doc_id = b.component_id as kept
         from documents d left join sizes s on s.doc_id = d.doc_id join best b on b.node = d.doc_id
     """,
+    "op13_ranked_search": r"""
+        with found as (
+            select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents
+        ),
+        asked as (
+            select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+        ),
+        tf as (select doc_id, term, count(*)::bigint as tf from found group by doc_id, term),
+        sizes as (select doc_id, sum(tf)::bigint as n from tf group by doc_id),
+        facts as (select count(*)::bigint as nd, sum(n)::bigint as nl from sizes),
+        weights as (
+            select term, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::bigint as w from tf, facts group by term, nd
+        ),
+        scored as (
+            select a.item_id, t.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nd) // nl)))))::bigint as score
+            from asked a join weights using (term) join tf t using (term) join sizes s on s.doc_id = t.doc_id, facts group by all
+        )
+        select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::integer as rank, doc_id, score
+        from scored where score > 0 qualify rank <= 50
+    """,
 }
