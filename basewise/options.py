@@ -48,6 +48,8 @@ class Options:
     # Bases of the words that find candidates: 19 for genomes, about 12 for short reads on small references.
     seed_length: int = 19
     adapter: str = ""
+    # Whether all index reads make the barcode (1), or the first alone (0).
+    dual_index: int = 0
     kafka_server: str = "127.0.0.1:9092"
     kafka_prq: str = "flink-prq"
     kafka_aligned: str = "flink-aligned"

@@ -16,31 +16,14 @@ from basewise import schemas
 from basewise.functions import barcodes, cigar, decode, tags, wire
 from basewise.operators import alignment, containers, demux, layout, mapping, ranking, reads, reference, routing, tracks
 from basewise.operators.transpose import cycle_blocks, transpose
-from basewise.oracle import oracle
 from basewise.plans.aligner import republish_toc
+from basewise.registry import ORACLES, QUERIES, query
 from basewise.session import materialize, scratch_path
 from basewise.sinks import write_pairs, write_records, write_sam_text
 from basewise.sources.tables import pairs_from_messages, read_fasta, read_records, read_sam_text, stream_pairs
 from basewise.streaming.pipeline import align_stream, write_stream
 from basewise.streaming.windows import stream_count_windows
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with its oracle."""
-
-    def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        ORACLES[fn.__name__] = oracle(sql)
-        return fn
-
-    return register
-
-
 # ---------------------------------------------------------------- run layout
 
 
@@ -787,3 +770,6 @@ def demux_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lane", "sample"
     ).agg(F.count(F.lit(1)).alias("pairs"), F.sum("q").alias("q"), F.sum("n").alias("n"))
     return per_sample.select("lane", "sample", "pairs", F.round(F.col("q") / F.col("n"), 3).alias("mean_q"))
+
+
+from basewise import live_queries  # noqa: E402, F401

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewise import schemas
-from basewise.session import small_side
 
 # Bytes before the data.
 CYCLE_HEADER = 4
@@ -27,6 +26,10 @@ CYCLE_PATH = r"L(\d{3})/C(\d+)\.1/s_(\d+)_(\d+)\.bcl\.gz$"
 TILE_PATH = r"L(\d{3})/s_(\d+)_(\d+)\.(?:filter|control)$"
 
 
+#: What a binary file stream gives. ``content`` is read only where it is selected.
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
 def _files(spark: SparkSession, base_dir: str, pattern: str) -> DataFrame:
     return (
         spark.read.format("binaryFile")
@@ -36,6 +39,44 @@ def _files(spark: SparkSession, base_dir: str, pattern: str) -> DataFrame:
     )
 
 
+def tile_keys(tiles: DataFrame) -> list[tuple[int, int]]:
+    """(lane, tile) pairs, sorted: at most those of one run's manifest."""
+    return sorted({(r["lane"], r["tile"]) for r in tiles.select("lane", "tile").collect()})
+
+
+def _any_of(values: list[str]) -> str:
+    return values[0] if len(values) == 1 else "{" + ",".join(values) + "}"
+
+
+def cycle_glob(base_dir: str, tiles: list[tuple[int, int]], cycles: int) -> str:
+    """The path pattern of the first ``cycles`` cycles of some tiles: no other file is listed, far less opened."""
+    lanes = _any_of([f"{lane:03d}" for lane in sorted({lane for lane, _ in tiles})])
+    names = _any_of([f"s_{lane}_{tile}" for lane, tile in tiles])
+    return f"{base_dir.rstrip('/')}/L{lanes}/C{_any_of([str(c) for c in range(1, cycles + 1)])}.1/{names}.bcl.gz"
+
+
+def filter_glob(base_dir: str, tiles: list[tuple[int, int]], kind: str = "filter") -> str:
+    """The path pattern of the filter (or control) files of some tiles."""
+    lanes = _any_of([f"{lane:03d}" for lane in sorted({lane for lane, _ in tiles})])
+    return f"{base_dir.rstrip('/')}/L{lanes}/{_any_of([f's_{lane}_{tile}' for lane, tile in tiles])}.{kind}"
+
+
+def stream_arrivals(spark: SparkSession, base_dir: str, files_per_batch: int) -> DataFrame:
+    """(lane, tile, cycle) of each cycle or filter file (cycle 0) as it comes. Names alone are read.
+
+    A file counts when it is first seen, so files must be moved into place whole.
+    """
+    found = (
+        spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", "s_*.{bcl.gz,filter}")
+        .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(base_dir)
+    )
+    is_cycle = F.col("path").rlike(CYCLE_PATH)
+    part = lambda group, own: F.when(is_cycle, _from_path(CYCLE_PATH, group)).otherwise(own)
+    return found.where((F.col("length") > 0) & (is_cycle | F.col("path").rlike(TILE_PATH))).select(
+        part(1, _from_path(TILE_PATH, 1)).alias("lane"), part(4, _from_path(TILE_PATH, 3)).alias("tile"), part(2, F.lit(0)).alias("cycle"),
+    )
+
+
 def _from_path(regex: str, group: int) -> Column:
     return F.regexp_extract("path", regex, group).cast("int")
 
@@ -66,18 +107,19 @@ def _cut(batches: Iterator[pa.RecordBatch], keys: list[str], header: int, width:
             yield pa.RecordBatch.from_pydict(columns)
 
 
-def _listed(files: DataFrame, tiles: DataFrame | None) -> DataFrame:
-    """Files of the tiles in the manifest, before their contents are unpacked."""
-    return files if tiles is None else files.join(small_side(tiles.select("lane", "tile")), ["lane", "tile"], "left_semi")
-
+def read_cycles(
+    spark: SparkSession, base_dir: str, block_size: int = 65_536, tiles: list[tuple[int, int]] | None = None, cycles: int | None = None
+) -> DataFrame:
+    """(lane, tile, cycle, block, bytes): one byte per cluster.
 
-def read_cycles(spark: SparkSession, base_dir: str, block_size: int = 65_536, tiles: DataFrame | None = None) -> DataFrame:
-    """(lane, tile, cycle, block, bytes): one byte per cluster."""
-    keyed = _files(spark, base_dir, "s_*.bcl.gz").where(F.col("path").rlike(CYCLE_PATH)).select(
+    With ``tiles`` and ``cycles`` only files of those are listed and opened.
+    """
+    found = _files(spark, cycle_glob(base_dir, tiles, cycles) if tiles and cycles else base_dir, "s_*.bcl.gz")
+    keyed = found.where(F.col("path").rlike(CYCLE_PATH)).select(
         _from_path(CYCLE_PATH, 1).alias("lane"), _from_path(CYCLE_PATH, 4).alias("tile"),
         _from_path(CYCLE_PATH, 2).alias("cycle"), "content",
     )
-    return _listed(keyed, tiles).mapInArrow(
+    return keyed.mapInArrow(
         lambda it: _cut(it, ["lane", "tile", "cycle"], CYCLE_HEADER, 1, True, block_size), schemas.CALL_BLOCKS
     )
 
@@ -88,9 +130,9 @@ def _tile_files(spark: SparkSession, base_dir: str, pattern: str) -> DataFrame:
     )
 
 
-def read_filters(spark: SparkSession, base_dir: str, block_size: int = 65_536, tiles: DataFrame | None = None) -> DataFrame:
+def read_filters(spark: SparkSession, base_dir: str, block_size: int = 65_536, tiles: list[tuple[int, int]] | None = None) -> DataFrame:
     """(lane, tile, block, bytes): 1 where the cluster passed."""
-    return _listed(_tile_files(spark, base_dir, "s_*.filter"), tiles).mapInArrow(
+    return _tile_files(spark, filter_glob(base_dir, tiles) if tiles else base_dir, "s_*.filter").mapInArrow(
         lambda it: _cut(it, ["lane", "tile"], FILTER_HEADER, 1, False, block_size), schemas.FILTER_BLOCKS
     )
 

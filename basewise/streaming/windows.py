@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 _OUT = "name string, sample string, shard int, window long"
+_FIELDS = ["name", "b1", "q1", "b2", "q2"]
+_PAYLOAD = ", ".join(f"{c} string" for c in _FIELDS)
 
 
-def _sharded(pairs: DataFrame, shards: int, shard: Column | None) -> DataFrame:
-    """(name, sample, shard, eos); a sentinel row is sent to every shard of its sample."""
+def _sharded(pairs: DataFrame, shards: int, shard: Column | None, payload: list[str] | None = None) -> DataFrame:
+    """(name, sample, shard, eos) and the payload; a sentinel row is sent to every shard of its sample."""
     eos = F.length("name") <= 1
     own = F.pmod(F.xxhash64("name"), F.lit(shards)) if shard is None else shard
     to = F.when(eos, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(own.cast("int")))
-    return pairs.select("name", "sample", eos.alias("eos"), F.explode(to).alias("shard"))
+    return pairs.select("name", "sample", *(payload or []), eos.alias("eos"), F.explode(to).alias("shard"))
 
 
 def stream_count_windows(
@@ -60,3 +64,84 @@ def stream_count_windows(
     return _sharded(pairs, shards, shard).groupBy("sample", "shard").applyInPandasWithState(
         windows, _OUT, "number long, held string", "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout"
     )
+
+
+class _Windows(StatefulProcessor):
+    """Holds the pairs of one (sample, shard) that fill no window yet, and calls ``close`` once for each window."""
+
+    def __init__(self, size: int, idle_ms: int | None, close: Callable[[pd.DataFrame], pd.DataFrame]) -> None:
+        self.size, self.idle_ms, self.of_window = size, idle_ms, close
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", _PAYLOAD)
+        self.count = handle.getValueState("count", "windows long, held int, timer long")
+
+    def _closed(self, key: tuple, number: int, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=_FIELDS)
+        return self.of_window(frame.assign(sample=key[0], shard=key[1], window=number))
+
+    def _keep(self, number: int, held: int, timer: int, timers: TimerValues, waits: bool) -> None:
+        """Notes the counts; a new rest waits for ``idle_ms`` from now."""
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        timer = -1
+        if self.idle_ms is not None and waits:
+            timer = timers.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(timer)
+        self.count.update((number, held, timer))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        number, held, timer = self.count.get() if self.count.exists() else (0, 0, -1)
+        new, ended = [], False
+        for frame in rows:
+            ended = ended or bool(frame["eos"].any())
+            new += list(frame.loc[~frame["eos"], _FIELDS].itertuples(index=False, name=None))
+        if held + len(new) < self.size and not ended:
+            # The list is only added to; it is read when a window closes.
+            if new:
+                self.held.appendList(new)
+            self._keep(number, held + len(new), timer, timerValues, held + len(new) > 0)
+            return
+        rest = (list(map(tuple, self.held.get())) if held else []) + new
+        full = len(rest) if ended else len(rest) - len(rest) % self.size
+        for at in range(0, full, self.size):
+            yield self._closed(key, number, rest[at : min(at + self.size, full)])
+            number += 1
+        rest = rest[full:]
+        if rest:
+            self.held.put(rest)
+        else:
+            self.held.clear()
+        self._keep(number, len(rest), timer, timerValues, bool(rest))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        number, held, _ = self.count.get()
+        if held:
+            yield self._closed(key, number, list(map(tuple, self.held.get())))
+            self.held.clear()
+            number += 1
+        self.count.update((number, 0, -1))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_closed_windows(
+    pairs: DataFrame, size: int, shards: int = 8, shard: Column | None = None, idle_ms: int | None = None,
+    close: Callable[[pd.DataFrame], pd.DataFrame] | None = None, schema: str | None = None,
+) -> DataFrame:
+    """Whole pairs in windows of ``size``: (name, b1, q1, b2, q2, sample, shard, window), or what ``close`` makes of them.
+
+    ``close`` gets each window once, as a pandas frame of at most ``size`` rows with those
+    columns, and returns rows of ``schema``. Rests and samples are as in
+    :func:`stream_count_windows`; a rest that waited ``idle_ms`` closes by a timer of the
+    state store. A state holds fewer than ``size`` pairs, so all states together hold
+    fewer than ``size`` x ``shards`` a sample. Start the query inside
+    :func:`~basewise.streaming.state.keyed_state`.
+    """
+    keyed = _sharded(pairs, shards, shard, ["b1", "q1", "b2", "q2"])
+    processor = _Windows(size, idle_ms, close or (lambda frame: frame))
+    schema = schema or _PAYLOAD + ", sample string, shard int, window long"
+    mode = "None" if idle_ms is None else "ProcessingTime"
+    return keyed.groupBy("sample", "shard").transformWithStateInPandas(processor, schema, "Append", mode)
