@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basewise import fixtures as fx
 from basewise import run_fixtures as rf
+from basewise import schemas
 from basewise.functions.cigar import cigar_format
 from basewise.operators.demux import table_of_contents
 from basewise.operators.reference import reference_index
@@ -14,11 +15,17 @@ from basewise.operators.routing import drop_eos, eos_rows
 from basewise.plans.reader import run_clusters, run_pairs
 from basewise.registry import query
 from basewise.session import materialize, scratch_path
-from basewise.sinks import write_pairs
+from basewise.sinks import write_pairs, write_records
 from basewise.sources.calls import read_controls
-from basewise.sources.tables import read_pairs, read_records, stream_pairs
-from basewise.streaming.pipeline import align_stream, window_sizes
+from basewise.sources.tables import read_pairs, read_records, stream_pairs, stream_records
+from basewise.streaming.commit import folders, remove
+from basewise.streaming.complete import completed_samples
+from basewise.streaming.control import run_live
+from basewise.streaming.live import LiveWriter, live_aligner
+from basewise.streaming.pipeline import align_stream, window_sizes, write_stream
 from basewise.streaming.reader import stream_run
+from basewise.streaming.state import keyed_state
+from basewise.streaming.writer import PartWriter, read_parts, write_parts_stream
 
 _PAIRS = "select name, b1, q1, b2, q2, sample from pairs"
 
@@ -95,4 +102,64 @@ def stream_window_align(spark: SparkSession, sf_dir: str) -> DataFrame:
         write_pairs(rows, data, mode="append")
         align_stream(stream_pairs(spark, data), index, out, checkpoint, available_now=True, window=_WINDOW, shards=_SHARDS, shard=shard).awaitTermination()
     sizes = window_sizes(spark, out).groupBy("sample").agg(F.count("*").alias("windows"), F.count_if(F.col("pairs") == _WINDOW).alias("whole"))
-    return _sam(read_records(spark, out)).join(sizes, "sample")
+    return _sam(drop_eos(read_records(spark, out), aligned=True)).join(sizes, "sample")
+
+
+@query(f"select {_SAM} from sam")
+def stream_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as a file stream to rolling parts; the last batch is done twice, as after a failure before its commit."""
+    data, out, checkpoint = (scratch_path(spark, p) for p in ("topic", "written", "state"))
+    records = materialize(fx.records(spark, sf_dir), "records")
+    writer = PartWriter(spark, out, roll_bytes=200_000, idle=3600)
+    for part in range(2):
+        write_records(records.where(F.pmod(F.xxhash64("name"), F.lit(2)) == part), data, mode="append")
+        write_parts_stream(stream_records(spark, data, maxFilesPerTrigger="8"), writer, checkpoint, available_now=True).awaitTermination()
+    remove(spark, max(folders(spark, f"{checkpoint}/commits/[0-9]*"), key=lambda f: int(f.rsplit("/", 1)[1])))
+    write_parts_stream(stream_records(spark, data, maxFilesPerTrigger="8"), writer, checkpoint, available_now=True).awaitTermination()
+    writer.close()
+    return _sam(read_parts(spark, out))
+
+
+@query("""
+select sample, 4 as partitions, cast(case when ascii(right(sample, 1)) % 2 = 1 then 2 else 1 end as int) as run, count(*) as pairs
+from pairs group by sample""")
+def stream_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples whose sentinels have come on all four partitions; for half of them one comes late."""
+    data, out, checkpoint = (scratch_path(spark, p) for p in ("topic", "complete", "state"))
+    pairs = materialize(fx.pairs(spark, sf_dir), "pairs")
+    present = pairs.select("sample").distinct()
+    ends = eos_rows(pairs, present).crossJoin(spark.range(4).select(F.col("id").cast("int").alias("part")))
+    late = (F.col("part") == 2) & (F.ascii(F.right("sample", F.lit(1))) % 2 == 1)
+    rows = pairs.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(4)).cast("int")).unionByName(ends.where(~late))
+    found = []
+    for some in (rows, ends.where(late)):
+        some.write.mode("append").partitionBy("part").parquet(data)
+        stream = spark.readStream.schema(f"{schemas.PAIRS}, part int").parquet(data)
+        with keyed_state(spark):
+            write_stream(completed_samples(stream, 4, F.col("part")), out, checkpoint, available_now=True).awaitTermination()
+        found.append(materialize(spark.read.schema("sample string, partitions int").parquet(out), "complete"))
+    first = found[0].select("sample", F.lit(1).alias("run"))
+    runs = found[1].join(first, "sample", "left").select("sample", "partitions", F.coalesce("run", F.lit(2)).alias("run"))
+    return runs.join(pairs.groupBy("sample").agg(F.count("*").alias("pairs")), "sample")
+
+
+@query(f"select {_SAM} from sam")
+def live_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reader, aligner and writer at once: files come in two lots, contents start the work, sentinels end it."""
+    root, data, state = (scratch_path(spark, p) for p in ("run", "live", "state"))
+    files = rf.run_files(spark, sf_dir, root)
+    options = rf.write_head(spark, sf_dir, root, rapi_win="500", aligner_timeout="100", writer_timeout="100")
+    # Names of pairs with an even tile come late.
+    early = (F.col("tile") % 2 == 1) | (F.col("cycle") % 3 == 0)
+    rf.write_files(files.where(early))
+    reader = stream_run(spark, options, data, f"{state}/reader", every="1 second")
+    aligner = live_aligner(spark, options, data, reference_index(fx.contigs(spark, sf_dir), 12), f"{state}/aligner", shards=2, group_size=8, every="1 second")
+    writer = LiveWriter(spark, options, data, f"{state}/writer", shards=2, group_size=8, every="1 second")
+    samples = {r["sample"] for r in table_of_contents(fx.sheet(spark, sf_dir)).select("sample").collect()}
+    try:
+        rf.write_files(files.where(~early))
+        if not run_live([aligner, writer], lambda: writer.complete >= samples):
+            raise TimeoutError("no rows for too long")
+    finally:
+        reader.stop()
+    return _sam(read_parts(spark, options.cram_output_dir))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from basewise import schemas
 
 # Fixed value: the name that ends an aligned stream.
 EOS_NAME = "EOS"
@@ -32,6 +35,13 @@ def eos_rows(pairs: DataFrame, samples: DataFrame, partitions: int = 1) -> DataF
     return samples.select("sample", F.explode(F.sequence(F.lit(1), F.lit(partitions))).alias("_p")).select(*fill)
 
 
+def eos_records(ends: DataFrame) -> DataFrame:
+    """Sentinel records of (sample, part): named ``EOS``, with the number of the part that ended as ``pos``, else empty."""
+    own = {"name": F.lit(EOS_NAME), "sample": F.col("sample"), "pos": F.col("part")}
+    fields = StructType.fromDDL(schemas.SAM).fields
+    return ends.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def rebalance(rows: DataFrame, partitions: int) -> DataFrame:
     """Rows dealt evenly over ``partitions``, whatever tile or key they came from."""
     return rows.repartition(partitions)

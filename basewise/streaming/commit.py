@@ -10,10 +10,14 @@ tells its files, their bytes and rows.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from basewise.sources.tables import FILES_PER_BATCH
 
 
 def _fs(spark: SparkSession, path: str):
@@ -57,26 +61,23 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"cannot rename to {path}")
 
 
-def get_text(spark: SparkSession, path: str) -> str:
-    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
-
-
 def remove(spark: SparkSession, path: str) -> None:
     fs, hadoop = _fs(spark, path)
     fs.delete(hadoop, True)
 
 
-def publish(spark: SparkSession, root: str, number: int, write: Callable[[str], None], name: str = "batch") -> bool:
+def publish(spark: SparkSession, root: str, number: int, write: Callable[[str], None], name: str = "batch", facts: dict | None = None) -> bool:
     """Runs ``write(folder)`` and shows what it wrote as ``<root>/<name>=<number>``; False if that is there already.
 
-    Of two attempts that run at once only one is renamed, the other is deleted.
+    Of two attempts that run at once only one is renamed, the other is deleted. ``facts``
+    go into the folder's manifest, beside the time, the files and their bytes.
     """
     final = f"{root}/{name}={number}"
     if exists(spark, final):
         return False
     aside = f"{root}/_staged/{name}-{number}-{uuid.uuid4().hex}"
     write(aside)
-    put_text(spark, f"{aside}/_manifest", json.dumps({"number": number, "files": files_below(spark, aside)}))
+    put_text(spark, f"{aside}/_manifest", json.dumps({**(facts or {}), "number": number, "time": time.time(), "files": files_below(spark, aside)}))
     fs, staged = _fs(spark, aside)
     target = spark._jvm.org.apache.hadoop.fs.Path(final)
     if fs.exists(target) or not fs.rename(staged, target):
@@ -86,5 +87,24 @@ def publish(spark: SparkSession, root: str, number: int, write: Callable[[str],
 
 
 def manifest(spark: SparkSession, folder: str) -> dict:
-    """``number, files`` of a published folder."""
-    return json.loads(get_text(spark, f"{folder}/_manifest"))
+    """``number, time, files`` and other facts of a published folder."""
+    fs, hadoop = _fs(spark, f"{folder}/_manifest")
+    source = fs.open(hadoop)
+    try:
+        return json.loads(bytes(source.readAllBytes()).decode())
+    finally:
+        source.close()
+
+
+def stream_published(spark: SparkSession, root: str, schema: str, above: str = "batch long", **options: str) -> DataFrame:
+    """Rows of ``<root>/batch=<n>/sample=<s>`` as a stream, in the order of publishing; ``root`` may still be empty.
+
+    ``above`` are the folder levels over that of the sample.
+    """
+    fs, hadoop = _fs(spark, root)
+    fs.mkdirs(hadoop)
+    fields = StructType.fromDDL(schema).fields
+    # A file stream matches columns by place: those of the folders come last, in the folders' order.
+    inside = StructType([*[f for f in fields if f.name != "sample"], *StructType.fromDDL(above).fields]).add("sample", "string")
+    more = {"maxFilesPerTrigger": FILES_PER_BATCH, **options}
+    return spark.readStream.schema(inside).options(**more).parquet(root).select(*[f.name for f in fields])

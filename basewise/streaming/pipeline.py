@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from basewise.operators.reference import ReferenceIndex, reference_index
+from basewise.operators.routing import drop_eos, eos_records
 from basewise.plans.aligner import align_pairs
 from basewise.session import materialize, scratch
 from basewise.sinks import write_records
@@ -28,27 +29,32 @@ def align_stream(
 
     With a ``window`` pairs are mapped in whole windows of so many (``rapi_win`` of the
     options), which :func:`stream_closed_windows` closes; ``_windows`` in each batch tells
-    their sizes.
+    their sizes. After the records of a sample's last window come its sentinels, one for
+    each shard, in a batch of their own (see :func:`~basewise.operators.routing.eos_records`).
     """
     index = reference if isinstance(reference, ReferenceIndex) else reference_index(reference, k)
     spark = pairs.sparkSession
 
     def batch(df: DataFrame, number: int) -> None:
-        if exists(spark, f"{out}/batch={number}"):
+        # Records have even numbers, the sentinels after them odd ones.
+        if exists(spark, f"{out}/batch={2 * number + 1}"):
             return
+        with scratch(spark):
+            # Stored, as the batch is read for its distinct sequences and for the join back.
+            stored = materialize(df, "batch")
 
-        def write(folder: str) -> None:
-            with scratch(spark):
-                # Stored, as the batch is read for its distinct sequences and for the join back.
-                stored = materialize(df, "batch")
-                write_records(align_pairs(stored, index), folder)
+            def write(folder: str) -> None:
+                write_records(align_pairs(stored.drop("shard", "window"), index), folder)
                 if window:
-                    sizes = stored.groupBy("sample", "shard", "window").agg(F.count("*").alias("pairs"))
+                    sizes = drop_eos(stored).groupBy("sample", "shard", "window").agg(F.count("*").alias("pairs"))
                     sizes.coalesce(1).write.parquet(f"{folder}/_windows")
 
-        publish(spark, out, number, write)
+            publish(spark, out, 2 * number, write)
+            if window:
+                ends = eos_records(stored.where(F.length("name") <= 1).select("sample", F.col("shard").alias("part")))
+                publish(spark, out, 2 * number + 1, lambda folder: write_records(ends, folder))
 
-    rows = stream_closed_windows(pairs, window, shards, shard, idle_ms) if window else pairs
+    rows = stream_closed_windows(pairs, window, shards, shard, idle_ms, ends=True) if window else pairs
     writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     with keyed_state(spark):
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()

@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from basewise import schemas
 from basewise.operators.routing import eos_rows
 from basewise.options import Options
 from basewise.plans.reader import contents, load_run, pairs_of, tile_clusters
 from basewise.session import scratch
 from basewise.sinks import write_pairs
 from basewise.sources.calls import stream_arrivals, tile_keys
-from basewise.streaming.commit import exists, folders, publish
+from basewise.streaming.commit import folders, publish
 from basewise.streaming.state import keyed_state
 
 #: Tiles transposed in one job of a micro-batch, so that a backlog does not make one job of a whole run.
 TILES_AT_ONCE = 64
+#: Number of the batch of sentinels, which is published after all others.
+LAST_BATCH = 10**9
 
 
 class _Tile(StatefulProcessor):
@@ -62,8 +65,8 @@ def stream_run(
 ) -> StreamingQuery:
     """Pairs of each tile below ``out/pairs/batch=<n>/sample=<s>`` as soon as the tile is whole.
 
-    Contents come first (``out/toc``, key 0). With the last tile of the manifest come the
-    sentinels, ``eos_partitions`` for each sample. A batch appears whole and once, also
+    Contents come first (``out/toc``, key 0). After the last tile of the manifest come the
+    sentinels, ``eos_partitions`` for each sample, in a batch of their own. A batch appears whole and once, also
     when it is replayed, and holds its tiles' list, so it is known which are done.
     """
     run = load_run(spark, options)
@@ -73,7 +76,7 @@ def stream_run(
 
     def batch(df: DataFrame, number: int) -> None:
         came = [t for t in tile_keys(df) if t in whole]
-        if not came or exists(spark, f"{out}/pairs/batch={number}"):
+        if not came:
             return
 
         def write(folder: str) -> None:
@@ -81,12 +84,13 @@ def stream_run(
                 with scratch(spark):
                     clusters = tile_clusters(spark, options, run, came[at : at + TILES_AT_ONCE], locs_format=locs_format)
                     write_pairs(pairs_of(spark, options, clusters), folder, mode="append")
-            if done_tiles(spark, out) | set(came) >= whole:
-                pairs = pairs_of(spark, options, clusters)
-                write_pairs(eos_rows(pairs, toc.select("sample"), eos_partitions), folder, mode="append")
             spark.createDataFrame(came, "lane int, tile int").coalesce(1).write.parquet(f"{folder}/_tiles")
 
         publish(spark, f"{out}/pairs", number, write)
+        if done_tiles(spark, out) >= whole:
+            empty = spark.createDataFrame([], schemas.PAIRS)
+            ends = eos_rows(empty, toc.select("sample"), eos_partitions)
+            publish(spark, f"{out}/pairs", LAST_BATCH, lambda folder: write_pairs(ends, folder))
 
     tiles = complete_tiles(stream_arrivals(spark, options.bcl_input_dir + options.base_dir, files_per_batch), run.cycles)
     writer = tiles.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("append")

@@ -69,31 +69,31 @@ def stream_count_windows(
 class _Windows(StatefulProcessor):
     """Holds the pairs of one (sample, shard) that fill no window yet, and calls ``close`` once for each window."""
 
-    def __init__(self, size: int, idle_ms: int | None, close: Callable[[pd.DataFrame], pd.DataFrame]) -> None:
-        self.size, self.idle_ms, self.of_window = size, idle_ms, close
+    def __init__(self, size: int, idle_ms: int | None, close: Callable[[pd.DataFrame], pd.DataFrame], ends: bool) -> None:
+        self.size, self.idle_ms, self.of_window, self.ends = size, idle_ms, close, ends
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", _PAYLOAD)
-        self.count = handle.getValueState("count", "windows long, held int, timer long")
+        self.count = handle.getValueState("count", "windows long, held int, timer long, ended boolean")
 
     def _closed(self, key: tuple, number: int, rows: list[tuple]) -> pd.DataFrame:
         frame = pd.DataFrame(rows, columns=_FIELDS)
         return self.of_window(frame.assign(sample=key[0], shard=key[1], window=number))
 
-    def _keep(self, number: int, held: int, timer: int, timers: TimerValues, waits: bool) -> None:
-        """Notes the counts; a new rest waits for ``idle_ms`` from now."""
+    def _keep(self, number: int, held: int, timer: int, timers: TimerValues, ended: bool) -> None:
+        """Notes the counts; a rest waits for ``idle_ms`` from now."""
         if timer >= 0:
             self.handle.deleteTimer(timer)
         timer = -1
-        if self.idle_ms is not None and waits:
+        if self.idle_ms is not None and held:
             timer = timers.getCurrentProcessingTimeInMs() + self.idle_ms
             self.handle.registerTimer(timer)
-        self.count.update((number, held, timer))
+        self.count.update((number, held, timer, ended))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        number, held, timer = self.count.get() if self.count.exists() else (0, 0, -1)
-        new, ended = [], False
+        number, held, timer, over = self.count.get() if self.count.exists() else (0, 0, -1, False)
+        new, ended = [], over
         for frame in rows:
             ended = ended or bool(frame["eos"].any())
             new += list(frame.loc[~frame["eos"], _FIELDS].itertuples(index=False, name=None))
@@ -101,7 +101,7 @@ class _Windows(StatefulProcessor):
             # The list is only added to; it is read when a window closes.
             if new:
                 self.held.appendList(new)
-            self._keep(number, held + len(new), timer, timerValues, held + len(new) > 0)
+            self._keep(number, held + len(new), timer, timerValues, False)
             return
         rest = (list(map(tuple, self.held.get())) if held else []) + new
         full = len(rest) if ended else len(rest) - len(rest) % self.size
@@ -113,15 +113,17 @@ class _Windows(StatefulProcessor):
             self.held.put(rest)
         else:
             self.held.clear()
-        self._keep(number, len(rest), timer, timerValues, bool(rest))
+        self._keep(number, len(rest), timer, timerValues, ended)
+        if self.ends and ended and not over:
+            yield pd.DataFrame({**{c: [""] for c in _FIELDS}, "sample": [key[0]], "shard": [key[1]], "window": [number]})
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        number, held, _ = self.count.get()
+        number, held, _, over = self.count.get()
         if held:
             yield self._closed(key, number, list(map(tuple, self.held.get())))
             self.held.clear()
             number += 1
-        self.count.update((number, 0, -1))
+        self.count.update((number, 0, -1, over))
 
     def close(self) -> None:
         pass
@@ -129,19 +131,21 @@ class _Windows(StatefulProcessor):
 
 def stream_closed_windows(
     pairs: DataFrame, size: int, shards: int = 8, shard: Column | None = None, idle_ms: int | None = None,
-    close: Callable[[pd.DataFrame], pd.DataFrame] | None = None, schema: str | None = None,
+    close: Callable[[pd.DataFrame], pd.DataFrame] | None = None, schema: str | None = None, ends: bool = False,
 ) -> DataFrame:
     """Whole pairs in windows of ``size``: (name, b1, q1, b2, q2, sample, shard, window), or what ``close`` makes of them.
 
     ``close`` gets each window once, as a pandas frame of at most ``size`` rows with those
     columns, and returns rows of ``schema``. Rests and samples are as in
     :func:`stream_count_windows`; a rest that waited ``idle_ms`` closes by a timer of the
-    state store. A state holds fewer than ``size`` pairs, so all states together hold
+    state store. Pairs that come after their sample's sentinel form windows at once. With
+    ``ends`` a pair without a name follows the last window of each shard of a sample that
+    a sentinel ended. A state holds fewer than ``size`` pairs, so all states together hold
     fewer than ``size`` x ``shards`` a sample. Start the query inside
     :func:`~basewise.streaming.state.keyed_state`.
     """
     keyed = _sharded(pairs, shards, shard, ["b1", "q1", "b2", "q2"])
-    processor = _Windows(size, idle_ms, close or (lambda frame: frame))
+    processor = _Windows(size, idle_ms, close or (lambda frame: frame), ends)
     schema = schema or _PAYLOAD + ", sample string, shard int, window long"
     mode = "None" if idle_ms is None else "ProcessingTime"
     return keyed.groupBy("sample", "shard").transformWithStateInPandas(processor, schema, "Append", mode)
