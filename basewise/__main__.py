@@ -14,7 +14,7 @@ from basewise.options import OptionError, Options
 from basewise.plans.aligner import align_run
 from basewise.plans.reader import read_run
 from basewise.plans.writer import write_run
-from basewise.sources.tables import read_fasta
+from basewise.sources.tables import read_reference
 
 PROGRAMS = ("reader", "aligner", "writer")
 
@@ -48,9 +48,9 @@ def main(argv: list[str], spark: SparkSession | None = None) -> None:
     if program == "reader":
         read_run(spark, options, data)
     elif program == "aligner":
-        align_run(spark, data, read_fasta(spark, options.reference), options.seed_length)
+        align_run(spark, data, read_reference(spark, options.reference), options.seed_length)
     else:
-        write_run(spark, data, read_fasta(spark, options.reference), options.cram_output_dir)
+        write_run(spark, data, read_reference(spark, options.reference), options.cram_output_dir)
 
 
 if __name__ == "__main__":

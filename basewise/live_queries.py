@@ -10,14 +10,14 @@ from basewise import run_fixtures as rf
 from basewise import schemas
 from basewise.functions.cigar import cigar_format
 from basewise.operators.demux import table_of_contents
-from basewise.operators.reference import reference_index
+from basewise.operators.reference import Reference, reference_index
 from basewise.operators.routing import drop_eos, eos_rows
 from basewise.plans.reader import run_clusters, run_pairs
 from basewise.registry import query
 from basewise.session import materialize, scratch_path
 from basewise.sinks import write_pairs, write_records
 from basewise.sources.calls import read_controls
-from basewise.sources.tables import read_pairs, read_records, stream_pairs, stream_records
+from basewise.sources.tables import read_pairs, read_records, read_reference, stream_pairs, stream_records
 from basewise.streaming.commit import folders, remove
 from basewise.streaming.complete import completed_samples
 from basewise.streaming.control import run_live
@@ -163,3 +163,41 @@ def live_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         reader.stop()
     return _sam(read_parts(spark, options.cram_output_dir))
+
+
+# A contig of 32 bases for every fifth order, so that contigs grow with the data.
+_LONG = """
+with l as (select o_orderkey % 5 as k, o_orderkey, translate(md5(cast(o_orderkey as varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGT') as b from orders),
+w as (select k, string_agg(b, '' order by o_orderkey) as seq from l group by k),
+"""
+
+
+def _long_reference(spark: SparkSession, sf_dir: str) -> Reference:
+    """The contigs written as FASTA, one order a line, in many files, and read back."""
+    hexes = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
+    lines = fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey % 5 as k", "o_orderkey as at", f"lower(translate(md5(cast(o_orderkey as string)), {hexes})) as value")
+    titles = lines.select("k").distinct().selectExpr("k", "-1l as at", "concat('>long', k, ' x AS:build', k % 2, case when k = 3 then '' else concat(' SP:sp', k) end) as value")
+    path = scratch_path(spark, "fasta")
+    lines.unionByName(titles).repartitionByRange(7, "k", "at").sortWithinPartitions("k", "at").select("value").write.text(path)
+    return read_reference(spark, path)
+
+
+@query(_LONG + """
+c as (select k, seq, unnest(range(0, (length(seq) + 1023) // 1024)) as chunk from w)
+select concat('long', k) as contig, cast(chunk as int) as chunk, cast(least(1024, length(seq) - chunk * 1024) as int) as own,
+  md5(substr(concat('^', seq), cast(chunk * 1024 + 1 as bigint), 2049)) as bases_md5
+from c""")
+def reference_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with the bases around them, cut from the lines."""
+    found = _long_reference(spark, sf_dir)
+    return found.chunks.join(found.contigs, "ref_idx").select("contig", "chunk", "own", F.md5(F.col("bases").cast("binary")).alias("bases_md5"))
+
+
+@query(_LONG + """
+t as (select k, cast(row_number() over (order by k) - 1 as int) as ref_idx, seq from w)
+select ref_idx, concat('long', k) as contig, cast(length(seq) as int) as length, md5(seq) as md5, concat('build', k % 2) as assembly,
+  case when k <> 3 then concat('sp', k) end as species
+from t""")
+def reference_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and digests of contigs of which no task or row holds the whole, with assembly and species."""
+    return _long_reference(spark, sf_dir).contigs

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basewise.functions.decode import reverse_complement
-from basewise.operators.reference import CHUNK, ReferenceIndex, chunk_bases, chunk_of, reference_index
+from basewise.operators.reference import CHUNK, Reference, ReferenceIndex, chunk_bases, chunk_of, reference_index
 from basewise.session import materialize, small_side
 
 MISMATCH_PENALTY = 5
@@ -204,7 +204,7 @@ def best_hits(scored: DataFrame) -> DataFrame:
     )
 
 
-def map_sequences(seqs: DataFrame, reference: DataFrame | ReferenceIndex, k: int = 12, min_score: int = 10) -> DataFrame:
+def map_sequences(seqs: DataFrame, reference: DataFrame | Reference | ReferenceIndex, k: int = 12, min_score: int = 10) -> DataFrame:
     """Mapped distinct sequences: (seq, ref_idx, pos, strand, nm, votes, score, mapq).
 
     ``reference`` is a contig table, or a stored index, whose word length holds then.
@@ -223,7 +223,7 @@ def map_sequences(seqs: DataFrame, reference: DataFrame | ReferenceIndex, k: int
     return best.join(numbered, "read").select("seq", *[c for c in best.columns if c != "read"])
 
 
-def map_reads(reads: DataFrame, reference: DataFrame | ReferenceIndex, k: int = 12, min_score: int = 10) -> DataFrame:
+def map_reads(reads: DataFrame, reference: DataFrame | Reference | ReferenceIndex, k: int = 12, min_score: int = 10) -> DataFrame:
     """``reads`` (with column ``seq``) plus ref_idx, pos, strand, nm, votes, score, mapq.
 
     Unmapped reads keep their row with NULLs and quality 0. ``reads`` is scanned twice,

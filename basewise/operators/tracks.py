@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basewise.functions.cigar import REF_OPS, placed_elements
-from basewise.operators.reference import CHUNK, chunk_bases, chunk_of, contig_chunks
+from basewise.operators.reference import CHUNK, Reference, chunk_bases, chunk_of, chunks_of
 
 # Elements that compare a read base with a reference base.
 COMPARED_OPS = "M=X"
@@ -66,7 +66,7 @@ def _differing(read: Column, reference: Column, start: Column) -> Column:
     return F.filter(F.transform(marks, lambda m, i: F.when(m, start + i)), lambda i: i.isNotNull())
 
 
-def mismatch_track(records: DataFrame, contigs: DataFrame) -> DataFrame:
+def mismatch_track(records: DataFrame, reference: DataFrame | Reference) -> DataFrame:
     """(ref_idx, pos, n): reads whose base differs from the reference at ``pos``.
 
     Only differing positions are exploded. Pieces without a difference are dropped
@@ -75,7 +75,7 @@ def mismatch_track(records: DataFrame, contigs: DataFrame) -> DataFrame:
     pieces = _pieces(records, COMPARED_OPS, "seq").select(
         "ref_idx", "chunk", "ref_start", "len", F.substring("seq", F.col("read_start"), F.col("len")).alias("_read")
     )
-    joined = pieces.join(contig_chunks(contigs).select("ref_idx", "chunk", "bases"), ["ref_idx", "chunk"]).select(
+    joined = pieces.join(chunks_of(reference).select("ref_idx", "chunk", "bases"), ["ref_idx", "chunk"]).select(
         "ref_idx", "ref_start", "_read", chunk_bases(F.col("bases"), F.col("chunk"), F.col("ref_start"), F.col("len")).alias("_ref")
     )
     return (

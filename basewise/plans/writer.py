@@ -8,6 +8,7 @@ from basewise.operators.containers import (
     alignment_delta, container_context, container_quality, container_span, containers_by_coordinate,
     containers_by_count, mate_links,
 )
+from basewise.operators.reference import Reference, contigs_of
 from basewise.operators.routing import drop_eos
 from basewise.operators.tracks import coverage, mismatch_track
 from basewise.sinks import write_records, write_sam_text
@@ -26,10 +27,10 @@ def container_summary(contained: DataFrame) -> DataFrame:
     return container_span(contained).join(container_context(contained), keys).join(container_quality(contained), keys)
 
 
-def write_run(spark: SparkSession, data: str, contigs: DataFrame, out: str, part_records: int = 1_000_000) -> None:
+def write_run(spark: SparkSession, data: str, reference: DataFrame | Reference, out: str, part_records: int = 1_000_000) -> None:
     """The writer program: SAM text and Parquet per sample, tracks per contig."""
     records = drop_eos(read_records(spark, f"{data}/records"), aligned=True)
-    write_sam_text(records, contigs, f"{out}/sam", part_records)
+    write_sam_text(records, contigs_of(reference), f"{out}/sam", part_records)
     write_records(records, f"{out}/parquet")
     coverage(records).write.parquet(f"{out}/coverage")
-    mismatch_track(records, contigs).write.parquet(f"{out}/mismatches")
+    mismatch_track(records, reference).write.parquet(f"{out}/mismatches")

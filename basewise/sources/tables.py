@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 
 from basewise import schemas
 from basewise.functions.wire import parse_prq
-from basewise.session import materialize
+from basewise.operators.reference import Reference, contig_digests, line_chunks
+from basewise.session import materialize, small_side
 
 # Files of one micro-batch, so that a backlog is not one batch.
 FILES_PER_BATCH = 256
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(ref_idx, contig, seq, length, md5), contigs numbered in file order.
+def _titled_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Titles (_row, contig, assembly, species, ref_idx) and lines of bases (_file, _start, _row, _title, _bases).
 
-    A title is a line that begins with ``>``; its first word names the contig. Lines
-    before the first title belong to none. Two contigs of one name are an error.
-    The numbering window runs over one row per contig without its bases, and the
-    carry between splits over one row per split.
+    A title is a line that begins with ``>``; its first word names the contig, words
+    ``AS:x`` and ``SP:x`` tell its assembly and species. Lines before the first title belong
+    to none. Two contigs of one name are an error. The numbering window runs over one
+    row per contig without its bases, and the carry between splits over one row per split.
     """
     lines = materialize(
         spark.read.text(path).select(
@@ -31,8 +32,10 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     )
     place = F.struct("_file", "_start", "_row")
     is_title = F.startswith("value", F.lit(">"))
+    words = F.split(F.trim(F.substring("value", 2, 2**31 - 1)), r"\s+")
+    tag = lambda mark: F.nullif(F.regexp_extract("value", rf"\s{mark}:(\S+)", 1), F.lit(""))
     titles = lines.where(is_title).select(
-        "_row", F.split(F.trim(F.substring("value", 2, 2**31 - 1)), r"\s+")[0].alias("contig"),
+        "_row", words[0].alias("contig"), tag("AS").alias("assembly"), tag("SP").alias("species"),
         (F.row_number().over(W.partitionBy(F.lit(0)).orderBy(place)) - 1).alias("ref_idx"),
     )
     twice = [r["contig"] for r in titles.groupBy("contig").count().where("count > 1").limit(5).collect()]
@@ -44,9 +47,19 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     before = W.partitionBy(F.lit(0)).orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
     carried = splits.select("_file", "_start", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
     bases = lines.select("*", own.alias("_own")).where(~is_title).join(carried, ["_file", "_start"]).select(
-        F.coalesce("_own", "_carried").alias("_title"), place.alias("_at"), F.upper(F.regexp_replace("value", r"\s", "")).alias("_bases")
+        "_file", "_start", "_row", F.coalesce("_own", "_carried").alias("_title"), F.upper(F.regexp_replace("value", r"\s", "")).alias("_bases")
     )
-    whole = bases.groupBy("_title").agg(F.array_sort(F.collect_list(F.struct("_at", "_bases"))).alias("_l")).select(
+    return titles, bases
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(ref_idx, contig, seq, length, md5), contigs numbered in file order, each one row: for small references.
+
+    Titles are as in :func:`_titled_lines`. A genome is read by :func:`read_reference`.
+    """
+    titles, bases = _titled_lines(spark, path)
+    at = F.struct("_file", "_start", "_row").alias("_at")
+    whole = bases.select("_title", at, "_bases").groupBy("_title").agg(F.array_sort(F.collect_list(F.struct("_at", "_bases"))).alias("_l")).select(
         "_title", F.array_join(F.transform("_l", lambda x: x["_bases"]), "").alias("seq")
     )
     return titles.join(whole, F.col("_row") == F.col("_title"), "left").select(
@@ -54,6 +67,36 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     ).select("ref_idx", "contig", "seq", F.length("seq").alias("length"), F.md5(F.col("seq").cast("binary")).alias("md5"))
 
 
+def read_reference(spark: SparkSession, path: str) -> Reference:
+    """Contigs and their chunks, cut straight from the lines: no row is longer than a line or two chunks.
+
+    A line's place in its contig is a running sum within its split, plus what earlier
+    splits hold of the contig: a sum over one row per split. A line gives each chunk it
+    touches its part, the chunk before it the bases that follow, the chunk after it the
+    last base. Stored once.
+    """
+    titles, bases = _titled_lines(spark, path)
+    sized = bases.where((F.length("_bases") > 0) & F.col("_title").isNotNull()).withColumn("_n", F.length("_bases").cast("long"))
+    split = ["_file", "_start", "_title"]
+    inside = W.partitionBy(*split).orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("_title").orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
+    # Only a contig that goes on from an earlier split has a row here: one a split.
+    carry = sized.groupBy(*split).agg(F.sum("_n").alias("_n")).select(*split, F.sum("_n").over(earlier).alias("_before")).where("_before > 0")
+    at = F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    placed = sized.withColumn("_at", at).join(small_side(carry), split, "left").select(
+        "_title", "_bases", "_n", (F.col("_at") + F.coalesce("_before", F.lit(0))).alias("_at")
+    )
+    numbers = titles.select(F.col("_row").alias("_title"), "ref_idx")
+    whole = placed.join(small_side(numbers), "_title").drop("_title")
+    chunks = materialize(line_chunks(whole), "reference-chunks")
+    sums = contig_digests(chunks)
+    contigs = titles.join(sums, "ref_idx", "left").select(
+        "ref_idx", "contig", F.coalesce("length", F.lit(0)).cast("int").alias("length"), F.coalesce("md5", F.md5(F.lit("").cast("binary"))).alias("md5"),
+        "assembly", "species",
+    )
+    return Reference(materialize(contigs, "reference-contigs"), chunks)
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Pairs written by ``write_pairs``."""
     return spark.read.schema(schemas.PAIRS).parquet(path)
