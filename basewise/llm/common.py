@@ -89,6 +89,11 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def fitted(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """``df`` in no more tasks than ``rows`` need at ``each`` a task: a small table in a wide session is no job of empty tasks."""
+    return df.coalesce(max(1, -(-rows // each))) if rows < each * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node that has an edge, from ``a, b`` of long nodes.
 
@@ -99,21 +104,23 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
     edges = materialize(both.distinct(), "edges")
-    labels = materialize(edges.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")), "labels")
-    turn = 0
-    while not edges.isEmpty():
+    left = edges.count()
+    labels = materialize(fitted(edges.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")), left), "labels")
+    nodes, turn = left, 0
+    while left:
         order = lambda c, k=turn: F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("h"), F.col(c).alias("v"))
         moved = materialize(
-            edges.groupBy("a").agg(F.min(order("b")).alias("least"))
-            .select(F.col("a").alias("old"), F.least(order("a"), F.col("least"))["v"].alias("new")),
+            fitted(edges.groupBy("a").agg(F.min(order("b")).alias("least"))
+                   .select(F.col("a").alias("old"), F.least(order("a"), F.col("least"))["v"].alias("new")), left),
             "moved",
         )
         one = edges.join(moved, edges.a == moved.old).select(F.col("new").alias("a"), "b")
         two = one.join(moved, one.b == moved.old).select("a", F.col("new").alias("b"))
         labels = materialize(
-            labels.join(moved, labels.root == moved.old, "left").select("node", F.coalesce("new", "root").alias("root")),
+            fitted(labels.join(moved, labels.root == moved.old, "left").select("node", F.coalesce("new", "root").alias("root")), nodes),
             "labels",
         )
-        edges = materialize(two.filter("a <> b").distinct(), "edges")
+        edges = materialize(fitted(two.filter("a <> b").distinct(), left), "edges")
+        left = edges.count()
         turn += 1
     return labels

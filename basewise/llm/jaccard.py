@@ -1,7 +1,7 @@
 """Word shingles, exact verification of pairs on whole texts, and an exact join for crowds.
 
 ``verified`` moves only the texts of its pairs, each once for every partner it leads.
-``crowded_links`` finds every similar pair among texts too many for pairing bucket by
+``crowded`` finds every similar pair among texts too many for pairing bucket by
 bucket: shingles are put in one order, rare ones first by exact counts; two similar
 texts share one of the first few of each (prefix filter), far enough to the front that
 the rest can still suffice (position filter), and their sizes are alike.
@@ -15,16 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basewise.llm.common import components, map_batches, slices
+from basewise.llm.common import components, fitted, map_batches, slices
 from basewise.session import materialize, small_side
 
 WORDS, LEAST = 5, 0.8
-#: Partners that one copy of a leading text serves, and texts in a bucket from which on one of them is compared first.
-LED, CROWD = 512, 16
+#: Partners that one copy of a leading text serves.
+LED = 512
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -78,12 +78,14 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, least: floa
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
     followers = pairs.join(led, "a").select(F.col("b").alias("node"), F.col("a").alias("lead"), part.alias("part"), F.col("b").alias("other"))
     leaders = led.select(F.col("a").alias("node"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    moves = materialize(followers.unionByName(leaders.withColumn("other", F.lit(None).cast("long"))), "moves")
+    count = pairs.count()
+    moves = materialize(fitted(followers.unionByName(leaders.withColumn("other", F.lit(None).cast("long"))), count), "moves")
     wanted = moves.select(F.col("node").alias("row")).distinct()
     found = texts.select("row", "text").join(small_side(wanted), "row", "left_semi")
     rows = moves.join(found, moves["node"] == found["row"]).select("lead", "part", "other", "text")
     # Nulls sort first, so a leader precedes those it leads.
-    rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "other")
+    tasks = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // LED)))
+    rows = rows.repartition(tasks, "lead", "part").sortWithinPartitions("lead", "part", "other")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,25 +103,65 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, least: floa
     return rows.mapInArrow(run, schema)
 
 
-def hub_pairs(buckets: DataFrame, least: float, near: Column | None = None) -> DataFrame:
-    """``a, b``: the one text of each bucket (``bucket, node, size`` and more) that all others of it are compared with first.
+def hub_pairs(buckets: DataFrame, least: float, near: Column | None = None, turn: int = 0) -> DataFrame:
+    """``a, b``: the one text of each bucket (``bucket, node, size, label`` and more) that others of it are compared with.
 
-    The order of nodes is one for all buckets, so that a group meets few different hubs.
+    The order of nodes is one for all buckets of a turn, so that a group meets few different hubs.
     """
-    order = F.struct(F.xxhash64("node").alias("h"), F.struct(*buckets.columns).alias("is"))
+    order = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.struct(*buckets.columns).alias("is"))
     hubs = buckets.groupBy("bucket").agg(F.min(order)["is"].alias("hub"))
-    met = buckets.join(hubs, "bucket").filter(F.col("node") != F.col("hub.node")).filter(sizes_near(F.col("size"), F.col("hub.size"), least))
+    met = buckets.join(hubs, "bucket").filter(F.col("label") != F.col("hub.label")).filter(sizes_near(F.col("size"), F.col("hub.size"), least))
     met = met.filter(near) if near is not None else met
     return met.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` with more links ``a, b``: they join whole components, so each link is looked at once."""
+    a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    moved = components(between.filter("a <> b").distinct())
+    rows, more = roots.count(), moved.count()
+    if not more:
+        return roots
+    new = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    kept = roots.join(new, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(fitted(kept.union(moved.join(roots, "node", "left_anti").select("node", "root")), rows + more), "roots")
+
+
+def no_roots(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "node long, root long")
+
+
+def contracted(
+    buckets: DataFrame, texts: DataFrame, words: int, least: float, roots: DataFrame, near: Column | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Components found by comparing all texts of each bucket with one of them, in turns, each with other hubs.
+
+    Gives ``roots`` with what was linked, the pairs compared, the rows of ``buckets``
+    that still hold several labels (with ``label`` and ``texts``), and how many those are.
+    A turn costs as many comparisons as there are rows; there is another one as long as
+    the last closed a third of the rows.
+    """
+    left = materialize(open_buckets(relabelled(buckets, roots)), "labelled")
+    rows, turn, compared = left.count(), 0, None
+    while True:
+        pairs = materialize(fitted(hub_pairs(left, least, near, turn), rows), "hub-pairs")
+        found = materialize(verified(pairs, texts, words, least), "hub-links")
+        roots = merged(roots, found)
+        compared = pairs if compared is None else compared.union(pairs)
+        left = materialize(fitted(open_buckets(relabelled(left.select(*buckets.columns), roots)), rows), "open-buckets")
+        before, rows, turn = rows, left.count(), turn + 1
+        if 3 * rows > 2 * before or not rows:
+            return roots, compared, left, rows
+
+
 def relabelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """``rows`` with ``label``: the component that their ``node`` is in so far."""
     return rows.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
 
 
 def open_buckets(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that still hold several labels, with ``texts``, their number."""
+    """Rows of the buckets that still hold several labels, with ``texts``, the number of rows."""
     left = rows.groupBy("bucket").agg(F.count("*").alias("texts"), F.min("label").alias("low"), F.max("label").alias("high"))
     return rows.join(left.filter("low <> high").select("bucket", "texts"), "bucket")
 
@@ -149,20 +191,21 @@ def _reach(size: str, place: str, size2: str, place2: str, least: float) -> Colu
     return rest * (100 + percent(least)) >= F.lit(percent(least)) * (F.col(size) + F.col(size2))
 
 
-def crowded_links(texts: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """``a, b``: every similar pair of the distinct ``texts`` (``row, text``), or a chain of such pairs."""
+def crowded(texts: DataFrame, roots: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """``roots`` with every similar pair of the distinct ``texts`` (``row, text``) in one component."""
     prefixes = materialize(_prefixes(texts, words, least), "crowd-prefixes")
-    often = prefixes.groupBy("bucket").agg(F.count("*").alias("texts")).filter(F.col("texts") > CROWD).select("bucket")
-    first = hub_pairs(prefixes.join(often, "bucket"), least, _reach("size", "place", "hub.size", "hub.place", least))
-    first = materialize(verified(materialize(first, "crowd-hubs"), texts, words, least), "crowd-hub-links")
-    left = open_buckets(relabelled(prefixes, components(first)))
+    near = _reach("size", "place", "hub.size", "hub.place", least)
+    roots, _, left, rows = contracted(prefixes, texts, words, least, roots, near)
     # Similar sizes lie in one band or in neighbouring ones.
     left = left.withColumn("band", F.floor(F.log("size") / math.log(100 / percent(least))))
-    left = materialize(left, "crowd-open")
+    # A pair is made at the first shingle that its prefixes share, and at no other.
+    own = left.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "bucket"))).alias("own")).select("node", F.col("own.bucket").alias("own"))
+    left = materialize(fitted(left.join(own, "node"), rows), "crowd-open")
     a = left.select("*", F.explode(F.array("band", F.col("band") + 1)).alias("met")).alias("a")
     b = left.alias("b")
     meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.met") == F.col("b.band")) & (F.col("a.label") != F.col("b.label"))
     meet &= (F.col("a.band") < F.col("b.band")) | (F.col("a.node") < F.col("b.node"))
     meet &= sizes_near(F.col("a.size"), F.col("b.size"), least) & _reach("a.size", "a.place", "b.size", "b.place", least)
-    pairs = materialize(a.join(b, meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "crowd-pairs")
-    return first.union(verified(pairs, texts, words, least))
+    meet &= F.array_intersect("a.own", "b.own")[0] == F.col("a.bucket")
+    pairs = materialize(a.join(b, meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), "crowd-pairs")
+    return merged(roots, materialize(verified(pairs, texts, words, least), "crowd-links"))

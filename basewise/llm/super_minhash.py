@@ -8,12 +8,12 @@ steps where it has more shingles than places. Signatures are cut into bands; tex
 agree in a band meet in a bucket and are compared on their full sets.
 
 With bands of four places the chance to miss a link at the very threshold is
-``(1 - least**4) ** bands``: 6e-11 for 0.85 with 32 bands, 7e-10 for 0.8 with 40, and
+``(1 - least**4) ** bands``: 5e-10 for 0.85 with 29 bands, 7e-10 for 0.8 with 40, and
 less for any closer pair.
 
 In a bucket all texts are first compared with one of them (the hub), and what that links
 is grouped. Of buckets that still hold several groups, small ones are paired; the texts
-of all others go through an exact join of shingles (``jaccard.crowded_links``).
+of all others go through an exact join of shingles (``jaccard.crowded``).
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basewise.llm.common import components, map_batches, numbered, text_of
-from basewise.llm.jaccard import crowded_links, hashes, hub_pairs, open_buckets, relabelled, shingles, sizes_near, tokens_of, verified
+from basewise.llm.common import fitted, map_batches, numbered, text_of
+from basewise.llm.jaccard import contracted, crowded, hashes, merged, no_roots, relabelled, shingles, sizes_near, tokens_of, verified
 from basewise.session import materialize, scratch, scratch_path, small_side
 
 WORDS, LEAST = 5, 0.85
@@ -44,7 +44,7 @@ def bands_for(least: float) -> int:
     bands = 1
     while (1 - least**ROWS) ** bands > 1e-9:
         bands += 1
-    return -(-bands // 8) * 8
+    return bands
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -124,40 +124,37 @@ def sketches(rows: DataFrame, words: int, bands: int) -> DataFrame:
     return map_batches(rows, run, schema)
 
 
-def links(texts: DataFrame, nodes: DataFrame, words: int = WORDS, least: float = LEAST, known: DataFrame | None = None) -> DataFrame:
-    """``a, b`` of similar pairs among the distinct texts ``nodes`` (``row, size, bands``); ``texts`` holds ``row, text``.
+def linked(texts: DataFrame, nodes: DataFrame, words: int = WORDS, least: float = LEAST, known: DataFrame | None = None) -> DataFrame:
+    """``node, root`` of all texts linked with others, among the distinct texts ``nodes`` (``row, size, bands``).
 
-    Similar texts are linked or lie in one component of linked ones. ``known`` are links
-    found before, which need no second comparison.
+    ``texts`` holds ``row, text``. Similar texts come to lie in one component. ``known``
+    are links found before, which need no second comparison.
     """
+    roots = no_roots(texts.sparkSession)
+    roots = roots if known is None else merged(roots, known)
     each = nodes.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"), "size")
     # Bucket keys alone are counted first: most hold one text and travel no further.
     met = each.select("bucket").groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     shared = materialize(each.join(met, "bucket"), "shared-buckets")
-    if known is not None:
-        grouped = open_buckets(relabelled(shared, components(known)))
-        shared = materialize(grouped.select("bucket", "node", "size"), "unlinked-buckets")
-    hubs = materialize(hub_pairs(shared, least), "hub-pairs")
-    first = verified(hubs, texts, words, least)
-    first = materialize(first.union(known.select("a", "b")) if known is not None else first, "hub-links")
-    left = materialize(open_buckets(relabelled(shared, components(first))), "open-buckets")
+    roots, compared, left, rows = contracted(shared, texts, words, least, roots)
     few = left.filter(F.col("texts") <= CROWD)
     a, b = few.alias("a"), few.alias("b")
     meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
     pairs = a.join(b, meet & sizes_near(F.col("a.size"), F.col("b.size"), least))
-    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(hubs, ["a", "b"], "left_anti")
-    pairs = pairs.join(hubs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    out = first.union(verified(materialize(pairs, "pairs"), texts, words, least))
-    crowd = materialize(left.filter(F.col("texts") > CROWD).select(F.col("node").alias("row")).distinct(), "crowd")
+    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    pairs = materialize(fitted(pairs, CROWD * rows), "pairs")
+    roots = merged(roots, materialize(verified(pairs, texts, words, least), "links"))
+    crowd = materialize(fitted(left.filter(F.col("texts") > CROWD).select(F.col("node").alias("row")).distinct(), rows), "crowd")
     if crowd.isEmpty():
-        return out
+        return roots
     theirs = materialize(texts.select("row", "text").join(small_side(crowd), "row", "left_semi"), "crowd-texts")
-    return out.union(crowded_links(theirs, words, least))
+    return crowded(theirs, roots, words, least)
 
 
 def near_groups(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, words: int = WORDS,
-    least: float = LEAST, empty_linked: bool = False, before: Callable[[DataFrame], DataFrame] | None = None,
+    least: float = LEAST, empty_linked: bool = False, before: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """For each row ``row, id, size, component_id, keep_row``.
 
@@ -169,7 +166,7 @@ def near_groups(
     nothing, or with each other if ``empty_linked``. Repeated rows are rows of their own,
     linked as equal texts are. An empty table gives no rows; other columns are never read.
     ``row_col`` may name a stored column of unique numbers to serve as ``row``. ``before``
-    may find some links ``a, b`` of texts ``row, text`` by another method first.
+    may find some links ``a, b`` of the texts ``row, text`` among the given ``row`` by another method first.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "near-groups")
@@ -181,12 +178,13 @@ def near_groups(
         # One row a text: copies are never paired. Texts without words are their own group, or one.
         alone = F.when((F.col("size") == 0) & F.lit(not empty_linked), F.col("row")).otherwise(F.lit(-1))
         first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-        heads = drawn.groupBy("text_key", alone.alias("alone")).agg(first, F.min("row").alias("node"))
-        heads = materialize(heads, "heads")
-        nodes = drawn.filter("size > 0").join(heads.select(F.col("node").alias("row")), "row", "left_semi").select("row", "size", "bands")
-        known = materialize(before(rows.join(nodes.select("row"), "row", "left_semi").select("row", "text")), "known") if before else None
-        found = materialize(links(rows, nodes, words, least, known), "links")
-        named = materialize(relabelled(heads, components(found)), "named-heads")
+        one = F.min(F.struct("row", "size", "bands")).alias("one")
+        heads = materialize(drawn.groupBy("text_key", alone.alias("alone")).agg(first, one).withColumn("node", F.col("one.row")), "heads")
+        nodes = heads.select("one.*").filter("size > 0")
+        known = materialize(before(rows, nodes.select("row")), "known") if before else None
+        roots = linked(rows, nodes, words, least, known)
+        heads = heads.select("text_key", "alone", "first", "node")
+        named = materialize(relabelled(heads, roots), "named-heads")
         best = materialize(named.groupBy("label").agg(F.min("first").alias("best")).join(named, "label").select("text_key", "alone", "best"), "best")
         placed = drawn.select("row", "id", "size", "text_key", alone.alias("alone")).join(best, ["text_key", "alone"])
         out = placed.select("row", "id", "size", F.col("best.id").alias("component_id"), F.col("best.row").alias("keep_row"))

@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from basewise.llm import jaccard, super_minhash
+from basewise.llm import super_minhash
 from basewise.llm.common import table
 
 
@@ -50,7 +50,6 @@ def made():
 
 @pytest.mark.parametrize("crowd", [1, 16])
 def test_links_as_brute_force(spark, monkeypatch, crowd):
-    monkeypatch.setattr(jaccard, "CROWD", crowd)
     monkeypatch.setattr(super_minhash, "CROWD", crowd)
     texts = made()
     best = brute(texts)
