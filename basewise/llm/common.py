@@ -98,29 +98,31 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node that has an edge, from ``a, b`` of long nodes.
 
     Rounds of contraction: under a new random order each node moves to its least
-    neighbour, then edges are renamed; loops and repeats go. Each round is stored, so
-    lineage stays short, and only its number of rows comes to the driver. Edges
-    shrink by a constant factor a round, whatever the length of chains.
+    neighbour, then edges are renamed; loops and repeats go. Each round's moves and edges
+    are stored, and only their number comes to the driver; the moves are put one after
+    the other at the end. Edges shrink by a constant factor a round, whatever the length
+    of chains.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
-    edges = materialize(both.distinct(), "edges")
-    left = edges.count()
-    labels = materialize(fitted(edges.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")), left), "labels")
-    nodes, turn = left, 0
+    first = edges = materialize(both.distinct(), "edges")
+    nodes = left = edges.count()
+    if not left:
+        return first.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    moves = []
     while left:
-        order = lambda c, k=turn: F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("h"), F.col(c).alias("v"))
+        order = lambda c, k=len(moves): F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("h"), F.col(c).alias("v"))
         moved = materialize(
             fitted(edges.groupBy("a").agg(F.min(order("b")).alias("least"))
-                   .select(F.col("a").alias("old"), F.least(order("a"), F.col("least"))["v"].alias("new")), left),
+                   .select(F.col("a").alias("old"), F.least(order("a"), F.col("least"))["v"].alias("new")).filter("old <> new"), left),
             "moved",
         )
-        one = edges.join(moved, edges.a == moved.old).select(F.col("new").alias("a"), "b")
-        two = one.join(moved, one.b == moved.old).select("a", F.col("new").alias("b"))
-        labels = materialize(
-            fitted(labels.join(moved, labels.root == moved.old, "left").select("node", F.coalesce("new", "root").alias("root")), nodes),
-            "labels",
-        )
+        moves.append(moved)
+        one = edges.join(moved, edges.a == moved.old, "left").select(F.coalesce("new", "a").alias("a"), "b")
+        two = one.join(moved, one.b == moved.old, "left").select("a", F.coalesce("new", "b").alias("b"))
         edges = materialize(fitted(two.filter("a <> b").distinct(), left), "edges")
         left = edges.count()
-        turn += 1
+    labels = first.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
+    for moved in moves:
+        labels = labels.join(moved, labels.root == moved.old, "left").select("node", F.coalesce("new", "root").alias("root"))
+    labels = materialize(fitted(labels, nodes), "labels")
     return labels
