@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,8 @@ def live_aligner(
     """Maps pairs below ``data/pairs`` in windows of ``rapi_win`` to ``data/records/group=<first sample>``.
 
     Started by contents with key 0, which it publishes again with key 1. Ends after
-    ``aligner_timeout`` quiet seconds (0: never).
+    ``aligner_timeout`` quiet seconds (0: never). Started again with the same
+    ``checkpoint`` it reads the contents anew and goes on with each group where it was.
     """
     index = reference if isinstance(reference, ReferenceIndex) else reference_index(reference, k or options.seed_length)
 
@@ -43,11 +45,11 @@ def live_aligner(
         publish(spark, f"{data}/toc/aligned-{group[0]}", 1, lambda folder: republish_toc(rows).write.parquet(folder))
         return [query]
 
-    return Controller(spark, stream_contents(spark, f"{data}/toc"), 0, group_size, start, f"{checkpoint}/contents", options.aligner_timeout)
+    return Controller(spark, stream_contents(spark, f"{data}/toc"), 0, group_size, start, f"{checkpoint}/contents-{uuid.uuid4().hex}", options.aligner_timeout)
 
 
 class LiveWriter(Controller):
-    """The writer's controller; knows which samples are complete."""
+    """The writer's controller; knows which samples are complete, also after a start anew: it counts all sentinels again."""
 
     def __init__(
         self, spark: SparkSession, options: Options, data: str, checkpoint: str, shards: int = 8, group_size: int = WRITER_GROUP,
@@ -56,7 +58,7 @@ class LiveWriter(Controller):
         self.options, self.data, self.state, self.shards, self.roll_bytes, self.idle, self.every = options, data, checkpoint, shards, roll_bytes, idle, every
         self.parts: dict[str, PartWriter] = {}
         self.complete: set[str] = set()
-        super().__init__(spark, stream_contents(spark, f"{data}/toc"), 1, group_size, self._start, f"{checkpoint}/contents", options.writer_timeout)
+        super().__init__(spark, stream_contents(spark, f"{data}/toc"), 1, group_size, self._start, f"{checkpoint}/contents-{uuid.uuid4().hex}", options.writer_timeout)
 
     def _start(self, group: list[str]) -> list[StreamingQuery]:
         def records() -> DataFrame:
@@ -68,7 +70,7 @@ class LiveWriter(Controller):
         self.parts[group[0]] = PartWriter(self.spark, self.options.cram_output_dir, self.roll_bytes, self.idle, group[0])
         with keyed_state(self.spark):
             done = completed_samples(records(), self.shards, F.col("pos"), aligned=True).writeStream.foreachBatch(ended)
-            done = done.option("checkpointLocation", f"{self.state}/done-{group[0]}").trigger(processingTime=self.every).start()
+            done = done.option("checkpointLocation", f"{self.state}/done-{uuid.uuid4().hex}").trigger(processingTime=self.every).start()
         return [done, write_parts_stream(records(), self.parts[group[0]], f"{self.state}/write-{group[0]}", every=self.every)]
 
     def finish(self) -> None:
