@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from basewise.session import materialize, scratch, scratch_path
 
 #: Links of a chunk, from which on it is closed.
 CHUNK = 1 << 20
+#: Units of text that a Python worker remembers in each of two generations, and the longest one remembered.
+REMEMBERED, LONGEST = 200_000, 64
 _ID_BITS = 24
 
 
@@ -39,44 +43,80 @@ def byte_letters() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer: ids of texts, and what each id is in bytes."""
+    """One tokenizer: ids of texts, and what each id is in bytes.
+
+    Texts are cut into units that no token crosses, which are encoded once and remembered
+    in two generations: byte-level tokenizers cut by a pattern before they merge, and no
+    SentencePiece token here has a space symbol after another character.
+    """
 
     def __init__(self, path: str) -> None:
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.prefix = ""  # the model adds the space itself
-            self.encode = lambda texts: model.encode(texts, num_threads=1)
             entries = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+            if any(re.search("[^▁]▁", e) for i, e in enumerate(entries) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))):
+                raise ValueError("only models whose tokens end where a word ends")
+            self.units = re.compile(" *[^ ]+| +").findall
+            # The model puts a space before what it gets, unless that is empty; so that of the unit is left out.
+            space = [model.piece_to_id("▁")]
+            self.encode = lambda units: [ids if u != " " else space for u, ids in zip(units, model.encode([u[1:] for u in units], num_threads=1))]
             self.entries = [bytes([int(e[1:-1], 16)]) if model.is_byte(i) else e.replace("▁", " ").encode() for i, e in enumerate(entries)]
         else:
+            import public_tokenizers
+            import regex
             from tokenizers import Tokenizer
 
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             tokenizer = Tokenizer.from_file(path)
             tokenizer.encode_special_tokens = True
             letters = byte_letters()
-            self.prefix = " "
-            self.encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.units = regex.compile(public_tokenizers.PATTERN).findall
+            self.encode = lambda units: [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
             entries = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
             self.entries = [bytes(letters[c] for c in e) if all(c in letters for c in e) else e.encode() for e in entries]
         self.lengths = np.array([len(e) for e in self.entries], dtype=np.int64)
         # Ids as text, followed by a comma or by the end of a group.
-        self.names = np.array([[f"{i}," for i in range(len(entries))], [f"{i}\n" for i in range(len(entries))]], dtype=object)
-
-    def tokens(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text with a space before it; none where their bytes are not those of the text."""
-        entries = self.entries
-        got = self.encode([self.prefix + t for t in texts])
-        return [ids if b"".join([entries[i] for i in ids]) == b" " + t.encode() else [] for ids, t in zip(got, texts)]
-
-
-def _frame(ids: list[list[int]], lengths: np.ndarray) -> pd.DataFrame:
+        self.names = np.array([*(f"{i}," for i in range(len(entries))), *(f"{i}\n" for i in range(len(entries)))], dtype=object)
+        # Units met of late and before, their ids as 32-bit numbers; and units whose ids do not hold their bytes.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.changed: set[str] = set()
+
+    def tokens(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text with a space before it, as 32-bit numbers; none where their bytes are not those of the text."""
+        split = [self.units(" " + t) for t in texts]
+        young, old, entries = self.young, self.old, self.entries
+        fresh = []
+        for unit in set().union(*split).difference(young):
+            if unit in old:
+                young[unit] = old[unit]
+            else:
+                fresh.append(unit)
+        for at in range(0, len(fresh), 4096):
+            some = fresh[at : at + 4096]
+            for unit, ids in zip(some, self.encode(some)):
+                young[unit] = struct.pack(f"<{len(ids)}i", *ids)
+                if b"".join([entries[i] for i in ids]) != unit.encode():
+                    self.changed.add(unit)
+        changed, known = self.changed, young.__getitem__
+        out = [b"".join(map(known, units)) if changed.isdisjoint(units) else b"" for units in split]
+        for unit in fresh:
+            if len(unit) > LONGEST:
+                del young[unit]
+                changed.discard(unit)
+        if len(young) > REMEMBERED:
+            self.young, self.old = {}, young
+            changed.intersection_update(young)
+        return out
+
+
+def _frame(ids: list[bytes], lengths: np.ndarray) -> pd.DataFrame:
     """``doc, at, end, id`` of all tokens of a batch; places count on from document to document."""
-    flat = np.fromiter((i for own in ids for i in own), np.int64, sum(map(len, ids)))
+    flat = np.frombuffer(b"".join(ids), dtype="<i4").astype(np.int64)
     end = np.cumsum(lengths[flat])
-    return pd.DataFrame({"doc": np.repeat(np.arange(len(ids)), [len(own) for own in ids]), "at": end - lengths[flat], "end": end, "id": flat})
+    return pd.DataFrame({"doc": np.repeat(np.arange(len(ids)), [len(own) // 4 for own in ids]), "at": end - lengths[flat], "end": end, "id": flat})
 
 
 def _covering(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
@@ -85,11 +125,11 @@ def _covering(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
     return pd.merge_asof(left[["doc", "at"]], named, on="at", by="doc")["place"].to_numpy(np.int64)
 
 
-def _groups(frame: pd.DataFrame, cut: np.ndarray, names: np.ndarray, docs: int) -> list[list[str]]:
-    """Each document's groups of ids, joined by commas."""
-    words = names[cut.astype(np.int64), frame["id"].to_numpy()]
-    edges = np.searchsorted(frame["doc"].to_numpy(), np.arange(docs + 1))
-    return [[g[:-1] if g.endswith(",") else g for g in "".join(words[a:b]).split("\n")[:-1]] for a, b in zip(edges, edges[1:])]
+def _groups(frame: pd.DataFrame, cut: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> list[list[str]]:
+    """Each document's groups of ids, joined by commas; ``sizes`` are their numbers. The last token of a text ends a group."""
+    words = names.take(frame["id"].to_numpy() + cut * (len(names) // 2))
+    groups, edges = "".join(words.tolist()).split("\n"), np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    return [groups[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def align(texts: list[str], a: Side, b: Side) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -99,8 +139,8 @@ def align(texts: list[str], a: Side, b: Side) -> tuple[pd.DataFrame, pd.DataFram
     """
     ids_a, ids_b = a.tokens(texts), b.tokens(texts)
     whole = [bool(t and x and y) for t, x, y in zip(texts, ids_a, ids_b)]
-    ids_a = [x if ok else [] for x, ok in zip(ids_a, whole)]
-    ids_b = [y if ok else [] for y, ok in zip(ids_b, whole)]
+    ids_a = [x if ok else b"" for x, ok in zip(ids_a, whole)]
+    ids_b = [y if ok else b"" for y, ok in zip(ids_b, whole)]
     one, two = _frame(ids_a, a.lengths), _frame(ids_b, b.lengths)
     docs = len(texts)
     under = _covering(one, two)  # of B, by A's starts
@@ -112,15 +152,33 @@ def align(texts: list[str], a: Side, b: Side) -> tuple[pd.DataFrame, pd.DataFram
     links = pd.DataFrame({"doc": one["doc"].to_numpy()[left], "a": one["id"].to_numpy()[left], "b": two["id"].to_numpy()[right]})
     both = np.intersect1d(one["end"].to_numpy(), two["end"].to_numpy(), assume_unique=True)
     cut_a, cut_b = np.isin(one["end"].to_numpy(), both), np.isin(two["end"].to_numpy(), both)
-    groups = [";".join(map("|".join, zip(x, y))) for x, y in zip(_groups(one, cut_a, a.names, docs), _groups(two, cut_b, b.names, docs))]
     count = lambda own, weights=None: np.bincount(own, weights, minlength=docs).astype(np.int64)
+    n_groups = count(one["doc"].to_numpy(), cut_a)
+    groups = [";".join(map("|".join, zip(x, y))) for x, y in zip(_groups(one, cut_a, a.names, n_groups), _groups(two, cut_b, b.names, n_groups))]
     facts = pd.DataFrame({
-        "n_a": [len(x) for x in ids_a], "n_b": [len(y) for y in ids_b], "n_groups": count(one["doc"].to_numpy(), cut_a),
+        "n_a": [len(x) // 4 for x in ids_a], "n_b": [len(y) // 4 for y in ids_b], "n_groups": n_groups,
         "n_links": count(links["doc"].to_numpy()), "groups": groups,
     })
     return facts, links
 
 
+def _packed(codes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Each document's codes, in rising order, as differences, first bytes first: mostly zeros, which compress well."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    codes = codes[np.lexsort((codes, doc))]
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    steps = np.diff(codes, prepend=0)
+    steps[edges[:-1][sizes > 0]] = codes[edges[:-1][sizes > 0]]
+    cells = steps.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return [cells[a:b].T.tobytes() for a, b in zip(edges, edges[1:])]
+
+
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    """The codes of all documents in a row."""
+    out = [np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(4, -1).T).view("<u4").ravel().cumsum(dtype=np.int64) for p in packed]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -128,20 +186,24 @@ def _chunks(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """One row a document with its links as numbers of pairs (``codes``), and one a chunk with its pairs and how often each is linked."""
     schema = T.StructType([
         T.StructField("chunk", T.LongType()), rows.schema["id"], *[T.StructField(n, T.LongType()) for n in _COUNTS], T.StructField("groups", T.StringType()),
-        T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType())),
+        T.StructField("codes", T.BinaryType()), T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType())),
     ])
 
     def closed(number: int, docs: list, sizes: list, pairs: list) -> pa.RecordBatch:
         key = np.concatenate(pairs)
         names, codes, times = np.unique(key, return_inverse=True, return_counts=True)
+        # Frequent pairs get small numbers.
+        order = np.argsort(-times, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        names, times, codes = names[order], times[order], place[codes]
         facts = pd.concat([f for _, f in docs], ignore_index=True)
         n = len(facts)
-        edges = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        packed = _packed(codes, np.concatenate(sizes))
         ids = pa.concat_arrays([i for i, _ in docs] + [pa.nulls(1, docs[0][0].type)])
-        listed = pa.ListArray.from_arrays(pa.array(np.append(edges, edges[-1]), pa.int32()), pa.array(codes.astype(np.int32), pa.int32()))
         blank = lambda column, kind: pa.array([*column, None], kind)
         columns = [
-            pa.array(np.full(n + 1, number)), ids, *[blank(facts[c].tolist(), pa.int64()) for c in _COUNTS], blank(facts["groups"], pa.string()), listed,
+            pa.array(np.full(n + 1, number)), ids, *[blank(facts[c].tolist(), pa.int64()) for c in _COUNTS], blank(facts["groups"], pa.string()), blank(packed, pa.binary()),
             pa.array([None] * n + [names], pa.list_(pa.int64())), pa.array([None] * n + [times], pa.list_(pa.int64())),
         ]
         return pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
@@ -201,9 +263,9 @@ def align_table(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id",
             at = sums.column("code").to_numpy()
             total[at] = sums.column("total").to_numpy()
             best[at] = sums.column("best").to_numpy().astype(np.int64)
-            codes = docs.column("codes").combine_chunks()
-            edges = np.concatenate([[0], np.cumsum(docs.column("n_links").to_numpy())])
-            flat = codes.flatten().to_numpy()
+            sizes = docs.column("n_links").to_numpy()
+            edges = np.concatenate([[0], np.cumsum(sizes)])
+            flat = _unpacked(docs.column("codes").to_pylist())
             over = lambda values: np.diff(np.concatenate([[0], np.cumsum(values[flat])])[edges])
             columns = [docs.column(c) for c in ("id", *_COUNTS)] + [pa.array(over(best)), pa.array(over(total)), docs.column("groups")]
             return pa.Table.from_arrays(columns, names=schema.fieldNames())
