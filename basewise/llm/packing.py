@@ -3,8 +3,10 @@
 The plan is made from the histogram of piece lengths, which has at most ``size`` rows
 however many documents there are: large lengths are sorted and rounded up within
 groups of equal cardinality, a linear programme over fillings of a sequence with the
-few rounded sizes is optimised by column generation, the true lengths are put in for
-the rounded ones, and what is left is added by best fit, longest first. Pieces of one
+few rounded sizes is optimised by column generation, and true lengths are put in for
+the rounded ones. The last place of a filling takes what fits it best of all that is
+left, so that what rounding up wastes is used: it is filled with all other pieces by best
+fit, longest first. Pieces of one
 length are interchangeable, so a piece finds its place from its rank within its length.
 """
 
@@ -28,7 +30,7 @@ from basewise.session import materialize
 
 SIZE = 2048
 #: (share of a sequence over which a piece is large, number of groups) that are tried; the fewest sequences win.
-TRIED = ((1 / 8, 48), (1 / 3, 48), (2 / 5, 48), (1 / 2, 16))
+TRIED = ((1 / 8, 64), (1 / 8, 40), (1 / 4, 64))
 #: Units of text whose ids a Python worker remembers in each of two generations.
 REMEMBERED = 200_000
 
@@ -131,6 +133,8 @@ class Plan:
 
     size: int
     sequences: int = 0
+    #: Pieces that fillings placed in sequences of several.
+    company: int = 0
     runs: list[tuple[int, int, int, int, int]] = slot(default_factory=list)
     given: dict[int, int] = slot(default_factory=lambda: defaultdict(int))
     #: Sequences by the room left: runs (first sequence, count).
@@ -251,11 +255,13 @@ def _plan(counts: dict[int, int], size: int, share: float, groups: int) -> Plan:
         for filling, amount in _fillings(sizes, demand, size):
             many = int(amount + 1e-7)
             many = min([many, *(sum(c for _, c in stock[g]) // n for g, n in enumerate(filling.tolist()) if n)])
-            if many <= 0 or not filling.any():
+            if many <= 0 or filling.sum() < 2:
                 continue
             parts = [(plan.open(many), many, size)]
-            for g in np.repeat(np.arange(len(sizes)), filling).tolist():
+            # Sizes fall, so the smallest place stays open.
+            for g in np.repeat(np.arange(len(sizes)), filling)[:-1].tolist():
                 parts = _substitute(plan, parts, stock[g], rest)
+                plan.company += many
             for first, count, room in parts:
                 plan.leave(room, first, count)
     for length in sorted(rest, reverse=True):
