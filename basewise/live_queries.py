@@ -18,12 +18,12 @@ from basewise.session import materialize, scratch_path
 from basewise.sinks import write_pairs, write_records
 from basewise.sources.calls import read_controls
 from basewise.sources.tables import read_pairs, read_records, read_reference, stream_pairs, stream_records
-from basewise.streaming.commit import folders, remove
+from basewise.streaming.commit import exists, folders, remove
 from basewise.streaming.complete import completed_samples
 from basewise.streaming.control import run_live
 from basewise.streaming.live import LiveWriter, live_aligner
 from basewise.streaming.pipeline import align_stream, window_sizes, write_stream
-from basewise.streaming.reader import stream_run
+from basewise.streaming.reader import LAST_BATCH, stream_run
 from basewise.streaming.state import keyed_state
 from basewise.streaming.writer import PartWriter, read_parts, write_parts_stream
 
@@ -100,7 +100,7 @@ def stream_window_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table_of_contents(fx.sheet(spark, sf_dir))
     for rows in (pairs, eos_rows(pairs, samples)):
         write_pairs(rows, data, mode="append")
-        align_stream(stream_pairs(spark, data), index, out, checkpoint, available_now=True, window=_WINDOW, shards=_SHARDS, shard=shard).awaitTermination()
+        align_stream(stream_pairs(spark, data), index, out, checkpoint, available_now=True, window=_WINDOW, shards=_SHARDS, shard=shard, stores=samples.count() * _SHARDS).awaitTermination()
     sizes = window_sizes(spark, out).groupBy("sample").agg(F.count("*").alias("windows"), F.count_if(F.col("pairs") == _WINDOW).alias("whole"))
     return _sam(drop_eos(read_records(spark, out), aligned=True)).join(sizes, "sample")
 
@@ -135,7 +135,7 @@ def stream_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     for some in (rows, ends.where(late)):
         some.write.mode("append").partitionBy("part").parquet(data)
         stream = spark.readStream.schema(f"{schemas.PAIRS}, part int").parquet(data)
-        with keyed_state(spark):
+        with keyed_state(spark, 1):
             write_stream(completed_samples(stream, 4, F.col("part")), out, checkpoint, available_now=True).awaitTermination()
         found.append(materialize(spark.read.schema("sample string, partitions int").parquet(out), "complete"))
     first = found[0].select("sample", F.lit(1).alias("run"))
@@ -156,9 +156,16 @@ def live_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligner = live_aligner(spark, options, data, reference_index(fx.contigs(spark, sf_dir), 12), f"{state}/aligner", shards=2, group_size=8, every="1 second")
     writer = LiveWriter(spark, options, data, f"{state}/writer", shards=2, group_size=8, every="1 second")
     samples = {r["sample"] for r in table_of_contents(fx.sheet(spark, sf_dir)).select("sample").collect()}
+
+    def done() -> bool:
+        # Behind the sentinels there is nothing to read: no more listing of the run folder.
+        if reader.isActive and exists(spark, f"{data}/pairs/batch={LAST_BATCH}"):
+            reader.stop()
+        return writer.complete >= samples
+
     try:
         rf.write_files(files.where(~early))
-        if not run_live([aligner, writer], lambda: writer.complete >= samples):
+        if not run_live([aligner, writer], done):
             raise TimeoutError("no rows for too long")
     finally:
         reader.stop()

@@ -40,6 +40,7 @@ def live_aligner(
         pairs = stream_published(spark, f"{data}/pairs", schemas.PAIRS).where(F.col("sample").isin(group))
         query = align_stream(
             pairs, index, f"{data}/records/group={quote(group[0])}", f"{checkpoint}/align-{group[0]}", every=every, window=options.rapi_win, shards=shards,
+            stores=len(group) * shards,
         )
         rows = spark.createDataFrame([(0, i, s) for i, s in enumerate(group)], schemas.TOC)
         publish(spark, f"{data}/toc/aligned-{group[0]}", 1, lambda folder: republish_toc(rows).write.parquet(folder))
@@ -68,7 +69,8 @@ class LiveWriter(Controller):
             self.complete.update(r["sample"] for r in df.select("sample").collect())
 
         self.parts[group[0]] = PartWriter(self.spark, self.options.cram_output_dir, self.roll_bytes, self.idle, group[0])
-        with keyed_state(self.spark):
+        # Only sentinels come to this state: one store for all samples of the group.
+        with keyed_state(self.spark, 1):
             done = completed_samples(records(), self.shards, F.col("pos"), aligned=True).writeStream.foreachBatch(ended)
             done = done.option("checkpointLocation", f"{self.state}/done-{uuid.uuid4().hex}").trigger(processingTime=self.every).start()
         return [done, write_parts_stream(records(), self.parts[group[0]], f"{self.state}/write-{group[0]}", every=self.every)]

@@ -19,7 +19,7 @@ from basewise.streaming.windows import stream_closed_windows
 def align_stream(
     pairs: DataFrame, reference: DataFrame | ReferenceIndex, out: str, checkpoint: str, available_now: bool = False,
     every: str = "30 seconds", k: int = 12, window: int = 0, shards: int = 8, shard: Column | None = None,
-    idle_ms: int | None = None,
+    idle_ms: int | None = None, stores: int | None = None,
 ) -> StreamingQuery:
     """Maps each micro-batch and shows it as ``out/batch=<n>/sample=<s>``.
 
@@ -31,6 +31,8 @@ def align_stream(
     options), which :func:`stream_closed_windows` closes; ``_windows`` in each batch tells
     their sizes. After the records of a sample's last window come its sentinels, one for
     each shard, in a batch of their own (see :func:`~basewise.operators.routing.eos_records`).
+    ``stores`` is that of :func:`~basewise.streaming.state.keyed_state`: samples x ``shards``
+    are enough.
     """
     index = reference if isinstance(reference, ReferenceIndex) else reference_index(reference, k)
     spark = pairs.sparkSession
@@ -40,8 +42,9 @@ def align_stream(
         if exists(spark, f"{out}/batch={2 * number + 1}"):
             return
         with scratch(spark):
-            # Stored, as the batch is read for its distinct sequences and for the join back.
-            stored = materialize(df, "batch")
+            # Stored, as the batch is read for its distinct sequences and for the join back;
+            # mapped in the caller's session, whose shuffles do not depend on the stream's state.
+            stored = materialize(df, "batch", spark)
 
             def write(folder: str) -> None:
                 write_records(align_pairs(stored.drop("shard", "window"), index), folder)
@@ -56,7 +59,7 @@ def align_stream(
 
     rows = stream_closed_windows(pairs, window, shards, shard, idle_ms, ends=True) if window else pairs
     writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    with keyed_state(spark):
+    with keyed_state(spark, stores):
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 

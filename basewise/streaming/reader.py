@@ -94,7 +94,8 @@ def stream_run(
 
     tiles = complete_tiles(stream_arrivals(spark, options.bcl_input_dir + options.base_dir, files_per_batch), run.cycles)
     writer = tiles.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("append")
-    with keyed_state(spark):
+    # A state is a few bytes and its rows are file names: one store for the tiles of a job.
+    with keyed_state(spark, -(-len(whole) // TILES_AT_ONCE)):
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
