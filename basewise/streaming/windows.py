@@ -93,27 +93,33 @@ class _Windows(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         number, held, timer, over = self.count.get() if self.count.exists() else (0, 0, -1, False)
-        new, ended = [], over
+        # ``held`` pairs come before ``rest``; full windows leave with the frame that fills them,
+        # so that no more than a frame and a window is in memory, however many pairs a key has.
+        rest, ended, changed = [], over, False
         for frame in rows:
             ended = ended or bool(frame["eos"].any())
-            new += list(frame.loc[~frame["eos"], _FIELDS].itertuples(index=False, name=None))
-        if held + len(new) < self.size and not ended:
+            rest += frame.loc[~frame["eos"], _FIELDS].itertuples(index=False, name=None)
+            if held + len(rest) < self.size:
+                continue
+            if held:
+                rest, held = [*map(tuple, self.held.get()), *rest], 0
+            full, changed = len(rest) - len(rest) % self.size, True
+            for at in range(0, full, self.size):
+                yield self._closed(key, number, rest[at : at + self.size])
+                number += 1
+            rest = rest[full:]
+        if ended and held + len(rest):
+            yield self._closed(key, number, [*map(tuple, self.held.get() if held else ()), *rest])
+            number, rest, held, changed = number + 1, [], 0, True
+        if not changed:
             # The list is only added to; it is read when a window closes.
-            if new:
-                self.held.appendList(new)
-            self._keep(number, held + len(new), timer, timerValues, False)
-            return
-        rest = (list(map(tuple, self.held.get())) if held else []) + new
-        full = len(rest) if ended else len(rest) - len(rest) % self.size
-        for at in range(0, full, self.size):
-            yield self._closed(key, number, rest[at : min(at + self.size, full)])
-            number += 1
-        rest = rest[full:]
-        if rest:
+            if rest:
+                self.held.appendList(rest)
+        elif rest:
             self.held.put(rest)
         else:
             self.held.clear()
-        self._keep(number, len(rest), timer, timerValues, ended)
+        self._keep(number, held + len(rest), timer, timerValues, ended)
         if self.ends and ended and not over:
             yield pd.DataFrame({**{c: [""] for c in _FIELDS}, "sample": [key[0]], "shard": [key[1]], "window": [number]})
 
