@@ -581,8 +581,10 @@ def _by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.containers_by_count(fx.records(spark, sf_dir), _N)
 
 
-def _by_coordinate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.containers_by_coordinate(fx.records(spark, sf_dir), _N, _M)
+def _by_coordinate(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Placed records with the columns of the order and ``more``: others would be shuffled and stored for no use."""
+    records = fx.records(spark, sf_dir).select("sample", "name", "read_no", "ref_idx", "pos", *more)
+    return containers.containers_by_coordinate(records, _N, _M)
 
 
 @query("select sample, container_id, count(*) as records, min(name) as first_name from by_count group by all")
@@ -601,7 +603,7 @@ def containers_by_coordinate(spark: SparkSession, sf_dir: str) -> DataFrame:
 select sample, container_id, cast(coalesce(min(pos) filter (ref_idx >= 0), 0) as int) as span_start,
   cast(coalesce(max(pos_end) filter (ref_idx >= 0), 0) as int) as span_end from by_coord group by all""")
 def container_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.container_span(_by_coordinate(spark, sf_dir))
+    return containers.container_span(_by_coordinate(spark, sf_dir, "pos_end"))
 
 
 @query("""
@@ -649,7 +651,7 @@ from by_coord a"""
 
 @query(_LINKED_SQL)
 def link_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.link_mates(_by_coordinate(spark, sf_dir)).select("name", "read_no", "next_gap", "has_previous")
+    return containers.link_mates(_by_coordinate(spark, sf_dir, "flag")).select("name", "read_no", "next_gap", "has_previous")
 
 
 @query("""
@@ -662,7 +664,7 @@ with two as (
 select r.name, cast(r.read_no as int) as read_no, cast(two.name is null as int) as detached
 from by_coord r left join two on two.sample = r.sample and two.container_id = r.container_id and two.name = r.name""")
 def detached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.detached(_by_coordinate(spark, sf_dir)).select("name", "read_no", "detached")
+    return containers.detached(_by_coordinate(spark, sf_dir, "flag", "pos_end", "tlen")).select("name", "read_no", "detached")
 
 
 @query("""
@@ -683,7 +685,7 @@ left join two on two.sample = r.sample and two.container_id = r.container_id and
 def mate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and detachment together, a third of the second reads with a template length that does not fit."""
     off = F.when((F.col("read_no") == 2) & (F.col("pos") % 3 == 0), 1).otherwise(0)
-    rows = _by_coordinate(spark, sf_dir).withColumn("tlen", (F.col("tlen") + off).cast("int"))
+    rows = _by_coordinate(spark, sf_dir, "flag", "pos_end", "tlen").withColumn("tlen", (F.col("tlen") + off).cast("int"))
     return containers.mate_links(rows).select("name", "read_no", "detached", "next_gap", "has_previous")
 
 
