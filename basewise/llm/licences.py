@@ -118,10 +118,9 @@ def words(column: Column) -> Column:
 
 def _featured(df: DataFrame) -> DataFrame:
     """``features`` of ``words``: hashed words and word pairs."""
-    pairs = NGram(n=2, inputCol="words", outputCol="word_pairs").transform(df)
-    return HashingTF(numFeatures=BUCKETS, binary=True, inputCol="grams", outputCol="features").transform(
-        pairs.withColumn("grams", F.concat("words", "word_pairs")).drop("word_pairs")
-    )
+    before = F.slice("words", F.lit(1), F.greatest(F.lit(0), F.size("words") - 1))
+    pairs = F.zip_with(before, F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))
+    return HashingTF(numFeatures=BUCKETS, binary=True, inputCol="grams", outputCol="features").transform(df.withColumn("grams", F.concat("words", pairs)))
 
 
 def _grams(column: Column, n: int) -> Column:
@@ -158,17 +157,21 @@ def passages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     wrapped = F.filter(F.split("block", ends), lambda s: F.contains(s, F.lit("\n")))
     alone = F.flatten(F.transform(F.split("block", "\n"), lambda line: F.split(line, ends)))
     cut = blocks.select("row", "id", "paragraph", F.explode(F.concat(alone, wrapped)).alias("passage"))
-    whole = cut.select("row", "id", "paragraph", words(F.col("passage")).alias("words")).filter(F.size("words") > 0)
+    whole = cut.select("row", "id", "paragraph", words(F.col("passage")).alias("words"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("words") - WIDTH) / STEP)).cast("int"))
     windows = F.transform(starts, lambda i: F.slice("words", i * STEP + 1, F.lit(WIDTH)))
-    return whole.select("row", "id", "paragraph", F.explode(F.when(F.size("words") <= WIDTH, F.array("words")).otherwise(windows)).alias("words"))
+    return whole.select("row", "id", "paragraph", F.explode(F.when(F.size("words") <= WIDTH, F.array("words")).otherwise(windows)).alias("words")).filter(F.size("words") > 0)
 
 
 def _margins(weights: LogisticRegressionModel, df: DataFrame) -> DataFrame:
-    """``df`` with ``margins``: of each family over everything else."""
-    raw = vector_to_array("rawPrediction")
-    scored = weights.transform(df)
-    return scored.withColumn("raw", raw).withColumn("margins", F.transform(F.slice("raw", 1, len(FAMILIES)), lambda r: r - F.col("raw")[int(OTHER)]))
+    """``df`` with ``margins``: of each family over everything else.
+
+    The scores are the variable of an outer lambda: a filter on the margins is pushed down
+    with their whole expression, and a column named inside a lambda would then be hashed
+    and scored once more for every family.
+    """
+    of = lambda raw: F.transform(F.slice(raw, 1, len(FAMILIES)), lambda r: r - raw[int(OTHER)])
+    return weights.transform(df).withColumn("margins", F.transform(F.array(vector_to_array("rawPrediction")), of)[0])
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
