@@ -59,7 +59,8 @@ def _tile_files(blocks: DataFrame, base: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for at in range(batch.num_rows):  # a row is a whole file
+                r = batch.slice(at, 1).to_pylist()[0]
                 body, lane, tile, cycle = _joined(r["parts"], BLOCK), r["lane"], r["tile"], r["cycle"]
                 if cycle:
                     path = f"{base}/L{lane:03d}/C{cycle}.1/s_{lane}_{tile}.bcl.gz"
