@@ -55,22 +55,38 @@ def merge_lanes(*runs: DataFrame) -> DataFrame:
     return merged
 
 
-def roundtrip_diff(original: DataFrame, restored: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: (orig, back, diff) with the number of rows that only one side has.
+def row_digest(df: DataFrame, columns: list[str]) -> Column:
+    """256-bit digest of a row's values: as JSON, which tells null from empty and where a value ends; strings by their bytes."""
+    plain = [F.col(c).cast("binary").alias(c) if t == "string" else F.col(c) for c, t in df.select(*columns).dtypes]
+    return F.unhex(F.sha2(F.to_json(F.struct(*plain)), 256))
+
+
+def roundtrip_diffs(original: DataFrame, restored: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """A row for each of ``restored``: (format, orig, back, diff), with the number of rows that only one side has.
 
-    Both sides are reduced to a count per distinct row in one aggregation; the
-    counts differ exactly where ``exceptAll`` would report rows.
+    All sides are reduced to a count per distinct row in one aggregation, which
+    moves digests of the rows and reads ``original`` once; the counts differ exactly where
+    ``exceptAll`` would report rows.
     """
-    def side(df: DataFrame, sign: int) -> DataFrame:
-        return df.select(*columns, F.lit(sign).alias("_side"))
-
-    both = side(original, 1).unionByName(side(restored, -1))
-    per_row = both.groupBy(*columns).agg(
-        F.sum(F.when(F.col("_side") == 1, 1).otherwise(0)).alias("_o"),
-        F.sum(F.when(F.col("_side") == -1, 1).otherwise(0)).alias("_b"),
-    )
-    return per_row.agg(
-        F.coalesce(F.sum("_o"), F.lit(0)).alias("orig"),
-        F.coalesce(F.sum("_b"), F.lit(0)).alias("back"),
-        F.coalesce(F.sum(F.abs(F.col("_o") - F.col("_b"))), F.lit(0)).alias("diff"),
-    )
+    def side(df: DataFrame, number: int) -> DataFrame:
+        return df.select(row_digest(df, columns).alias("_row"), F.lit(number).alias("_side"))
+
+    every = side(original, 0)
+    for number, back in enumerate(restored.values(), 1):
+        every = every.unionByName(side(back, number))
+    counts = [f"_n{number}" for number in range(len(restored) + 1)]
+    per_row = every.groupBy("_row").agg(*[F.count_if(F.col("_side") == number).alias(n) for number, n in enumerate(counts)])
+    total = lambda value: F.coalesce(F.sum(value), F.lit(0))
+    facts = per_row.agg(F.array(*[
+        F.struct(
+            F.lit(name).alias("format"), total(F.col("_n0")).alias("orig"), total(F.col(n)).alias("back"),
+            total(F.abs(F.col("_n0") - F.col(n))).alias("diff"),
+        )
+        for name, n in zip(restored, counts[1:])
+    ]).alias("_facts"))
+    return facts.select(F.inline("_facts"))
+
+
+def roundtrip_diff(original: DataFrame, restored: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: (orig, back, diff), as :func:`roundtrip_diffs` has it."""
+    return roundtrip_diffs(original, {"": restored}, columns).drop("format")

@@ -729,12 +729,8 @@ def roundtrip_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
         # Maps cannot be grouped; sorted entries can.
         return df.select(*[c for c in columns if c != "tags"], F.array_sort(F.map_entries("tags")).alias("tags"))
 
-    sides = [("parquet", read_records(spark, parquet)), ("sam", read_sam_text(spark, text))]
-    diffs = [
-        routing.roundtrip_diff(plain(records), plain(back), columns).select(F.lit(name).alias("format"), "*")
-        for name, back in sides
-    ]
-    return diffs[0].unionByName(diffs[1])
+    sides = {"parquet": read_records(spark, parquet), "sam": read_sam_text(spark, text)}
+    return routing.roundtrip_diffs(plain(records), {name: plain(back) for name, back in sides.items()}, columns)
 
 
 _HEX = "'0123456789abcdef', 'ACGTACGTACGTACGT'"

@@ -69,18 +69,16 @@ def write_sam_text(records: DataFrame, contigs: DataFrame, path: str, part_recor
     so no file and no task depends on how large a sample is.
     """
     numbered = ranked(records, ["sample"], [F.col("name"), F.col("read_no")], "_rn")
-    lines = numbered.select(
-        "sample", F.expr(f"cast((_rn - 1) div {int(part_records)} as int)").alias("part"),
-        F.col("_rn").alias("_ord"), sam_lines(numbered).alias("value"),
-    )
     head = sam_header_lines(contigs)
     text = head.agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda h: h["line"]), "\n")
     )
-    # The contig dictionary is one value: a scalar subquery, not a join.
-    tops = lines.where(f"_ord % {int(part_records)} = 1 or {int(part_records)} = 1").select(
-        "sample", "part", F.lit(0).cast("long").alias("_ord"), text.scalar().alias("value")
+    # The contig dictionary is one value: a scalar subquery, not a join. The first record of a part brings it along.
+    line, first = sam_lines(numbered), F.expr(f"(_rn - 1) % {int(part_records)} = 0")
+    lines = numbered.select(
+        "sample", F.expr(f"cast((_rn - 1) div {int(part_records)} as int)").alias("part"),
+        F.col("_rn").alias("_ord"), F.when(first, F.concat_ws("\n", text.scalar(), line)).otherwise(line).alias("value"),
     )
-    lines.unionByName(tops).repartition("sample", "part").sortWithinPartitions("sample", "part", "_ord").select(
+    lines.repartition("sample", "part").sortWithinPartitions("sample", "part", "_ord").select(
         "sample", "part", "value"
     ).write.mode(mode).partitionBy("sample", "part").text(path)

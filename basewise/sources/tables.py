@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from basewise import schemas
 from basewise.functions.wire import parse_prq
 from basewise.operators.reference import Reference, contig_digests, line_chunks
-from basewise.session import materialize, small_side
+from basewise.session import bounded_listing, materialize, small_side
 
 # Files of one micro-batch, so that a backlog is not one batch.
 FILES_PER_BATCH = 256
@@ -131,7 +131,9 @@ def read_sam_text(spark: SparkSession, path: str) -> DataFrame:
     """Records of SAM text written by ``write_sam_text``, header lines left out."""
     from basewise.functions.cigar import cigar_parse
 
-    lines = spark.read.schema("value string, sample string, part int").text(path).where(~F.col("value").startswith("@"))
+    with bounded_listing(spark):
+        text = spark.read.schema("value string, sample string, part int").text(path)
+    lines = text.where(~F.col("value").startswith("@"))
     f = F.split("value", "\t")
     tag = F.filter(F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0))), lambda t: t != "")
     return lines.select(
