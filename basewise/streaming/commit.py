@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -72,16 +72,35 @@ def publish(spark: SparkSession, root: str, number: int, write: Callable[[str],
     Of two attempts that run at once only one is renamed, the other is deleted. ``facts``
     go into the folder's manifest, beside the time, the files and their bytes.
     """
-    final = f"{root}/{name}={number}"
-    if exists(spark, final):
+    if exists(spark, f"{root}/{name}={number}"):
         return False
-    aside = f"{root}/_staged/{name}-{number}-{uuid.uuid4().hex}"
+    aside = staged(root, name, number)
     write(aside)
+    return show(spark, aside, root, number, name, facts)
+
+
+def staged(root: str, name: str, number: int) -> str:
+    """A fresh hidden folder for what is to be shown later."""
+    return f"{root}/_staged/{name}-{number}-{uuid.uuid4().hex}"
+
+
+def move(spark: SparkSession, source: str, target: str, names: Iterable[str]) -> None:
+    """Folders ``names`` out of one staged folder into another."""
+    fs, to = _fs(spark, target)
+    fs.mkdirs(to)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for name in names:
+        if not fs.rename(path(f"{source}/{name}"), path(f"{target}/{name}")):
+            raise OSError(f"cannot rename {source}/{name}")
+
+
+def show(spark: SparkSession, aside: str, root: str, number: int, name: str = "batch", facts: dict | None = None) -> bool:
+    """Shows the staged folder ``aside``, with its manifest, as :func:`publish` does. ``root`` may be another folder than it was staged for."""
     put_text(spark, f"{aside}/_manifest", json.dumps({**(facts or {}), "number": number, "time": time.time(), "files": files_below(spark, aside)}))
-    fs, staged = _fs(spark, aside)
-    target = spark._jvm.org.apache.hadoop.fs.Path(final)
-    if fs.exists(target) or not fs.rename(staged, target):
-        fs.delete(staged, True)
+    fs, source = _fs(spark, aside)
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}={number}")
+    if fs.exists(target) or not fs.rename(source, target):
+        fs.delete(source, True)
         return False
     return True
 

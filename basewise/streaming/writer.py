@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import time
 from collections import defaultdict
+from collections.abc import Iterable
 from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,12 @@ from pyspark.sql.streaming import StreamingQuery
 from basewise import schemas
 from basewise.operators.routing import drop_eos
 from basewise.sinks import write_records
-from basewise.streaming.commit import folders, manifest, publish, remove
+from basewise.streaming.commit import exists, files_below, folders, manifest, move, publish, remove, show, staged
 
 #: Fixed value: bytes at which a part is closed.
 ROLL_BYTES = 8 << 20
+# Fixed value: the folder name of rows without a sample.
+_NO_SAMPLE = "__HIVE_DEFAULT_PARTITION__"
 
 
 class PartWriter:
@@ -29,21 +32,31 @@ class PartWriter:
     manifest tells, for every sample, the last batch that is in parts (``upto``), so a crash
     at any point leaves each record in exactly one part or open batch, and a new writer of
     the same folder goes on from there. Batches that are all in parts are deleted.
+
+    A batch is written once more only where it must be: samples that have the bytes of a part in one
+    batch, and do not wait in an open one, become a part as they were written. Files then
+    hold as many rows as those of the part before, so the first part is always made from open batches.
     """
 
     def __init__(self, spark: SparkSession, out: str, roll_bytes: int = ROLL_BYTES, idle: float = 10.0, group: str | None = None) -> None:
         self.spark, self.roll_bytes, self.idle = spark, roll_bytes, idle
         inside = "" if group is None else f"/group={quote(group)}"
         self.open, self.parts = f"{out}/open{inside}", f"{out}/parts{inside}"
-        self.lock = threading.Lock()
+        self.lock, self.rows_a_file = threading.Lock(), 0
 
     def batch(self, df: DataFrame, number: int) -> None:
         """One micro-batch; a replayed one is in place already, or in parts."""
         with self.lock:
             upto, last = self._rolled()
-            if number > upto.get("", -1):
-                publish(self.spark, self.open, number, lambda folder: write_records(drop_eos(df, aligned=True), folder))
-            self._roll(upto, last, self.idle)
+            if number > upto.get("", -1) and not exists(self.spark, f"{self.open}/batch={number}"):
+                # Of a batch that failed half-way some samples are in a part already.
+                there = [unquote(s.partition("=")[2]) for s, n in upto.items() if s and n >= number]
+                rows = drop_eos(df, aligned=True).where(~F.coalesce(F.nullif("sample", F.lit("")), F.lit(_NO_SAMPLE)).isin(there))
+                if self.rows_a_file:
+                    self._straight(rows, number, upto, last)
+                else:
+                    publish(self.spark, self.open, number, lambda folder: write_records(rows, folder))
+            self._roll(*self._rolled(), self.idle)
 
     def close(self, idle: float = 0.0) -> int:
         """Closes the parts of samples without records for ``idle`` seconds; the number of samples closed."""
@@ -57,6 +70,7 @@ class PartWriter:
             return {}, -1
         newest = max(done, key=lambda f: int(f.rsplit("=", 1)[1]))
         told = manifest(self.spark, newest)
+        self.rows_a_file = told.get("rows_a_file", 0)
         return told["upto"], told["number"]
 
     def _open(self, upto: dict[str, int]) -> tuple[dict[str, list[tuple[int, str, int, float]]], dict[int, str]]:
@@ -71,6 +85,31 @@ class PartWriter:
                     files[sample].append((told["number"], f"{folder}/{path}", size, told["time"]))
         return files, batches
 
+    def _straight(self, rows: DataFrame, number: int, upto: dict[str, int], last: int) -> None:
+        """Writes a batch in files of a part's size; samples that are due alone are the next part, the others an open batch."""
+        aside, rest = staged(self.open, "batch", number), staged(self.open, "batch", number)
+        write_records(rows, aside, max_records=self.rows_a_file)
+        sizes, largest = defaultdict(int), 0
+        for path, size in files_below(self.spark, aside):
+            sizes[path.split("/", 1)[0]] += size
+            largest = max(largest, size)
+        waiting = self._open(upto)[0]
+        due = [s for s, size in sizes.items() if size >= self.roll_bytes and s not in waiting]
+        if not due:
+            show(self.spark, aside, self.open, number)
+            return
+        others = sizes.keys() - set(due)
+        move(self.spark, aside, rest, others)
+        # Rows that have become longer make fewer a file from the next batch on.
+        fits = max(1, int(self.rows_a_file * min(1, self.roll_bytes / largest)))
+        upto = {**upto, **dict.fromkeys(due, number), **({} if others else {"": number})}
+        show(self.spark, aside, self.parts, last + 1, "part", self._facts(upto, due, fits))
+        if others:
+            show(self.spark, rest, self.open, number)
+
+    def _facts(self, upto: dict[str, int], due: Iterable[str], rows_a_file: int) -> dict:
+        return {"upto": upto, "samples": sorted(unquote(s.partition("=")[2]) for s in due), "rows_a_file": rows_a_file}
+
     def _roll(self, upto: dict[str, int], last: int, idle: float) -> int:
         files, batches = self._open(upto)
         now = time.time()
@@ -85,8 +124,8 @@ class PartWriter:
             rows = self.spark.read.schema(f"{schemas.SAM}, batch long").option("basePath", self.open).parquet(*paths).drop("batch")
             # Rows of a part, at the bytes a row takes in the open files.
             each = max(1, sum(f[2] for own in due.values() for f in own)) / max(1, rows.count())
-            write = lambda folder: write_records(rows, folder, max_records=max(1, int(self.roll_bytes / each)))
-            publish(self.spark, self.parts, last + 1, write, "part", {"upto": upto, "samples": sorted(unquote(s.partition("=")[2]) for s in due)})
+            fits = max(1, int(self.roll_bytes / each))
+            publish(self.spark, self.parts, last + 1, lambda folder: write_records(rows, folder, max_records=fits), "part", self._facts(upto, due, fits))
         waiting = {f[0] for s, own in files.items() if s not in due for f in own}
         for number, folder in batches.items():
             # The newest stays, so that a replay of it is seen.

@@ -181,6 +181,41 @@ def test_parts_roll_by_bytes_and_when_idle(spark, tmp_path):
     assert fresh.close() == 0
 
 
+def test_batches_of_due_samples_are_written_once(spark, tmp_path, monkeypatch):
+    import basewise.streaming.writer as module
+
+    out, whole, calls = str(tmp_path / "out"), write_records, []
+    monkeypatch.setattr(module, "write_records", lambda df, folder, **more: (calls.append(folder), whole(df, folder, **more)))
+    writer = PartWriter(spark, out, roll_bytes=20_000, idle=3600)
+    writer.batch(records(spark, 0, 1000, "A"), 0)  # through an open batch: a row's bytes are not known yet
+    assert len(calls) == 2
+    two = records(spark, 1000, 2000, "A").union(records(spark, 0, 1000, "B b"))
+    writer.batch(two, 1)
+    writer.batch(two, 1)  # a replay
+    PartWriter(spark, out, roll_bytes=20_000, idle=3600).batch(two, 1)  # and one after a restart
+    assert len(calls) == 3 and len(folders(spark, f"{out}/parts/part=*")) == 2
+    fresh = PartWriter(spark, out, roll_bytes=20_000, idle=3600)
+    some = records(spark, 2000, 3000, "A").union(records(spark, 1000, 1001, "B b"))
+    shown = module.show
+
+    def failing(spark, aside, root, number, *more):
+        if root.endswith("open"):
+            raise OSError("lost")
+        return shown(spark, aside, root, number, *more)
+
+    monkeypatch.setattr(module, "show", failing)
+    with pytest.raises(OSError):
+        fresh.batch(some, 2)  # A is in a part, B b is lost
+    monkeypatch.setattr(module, "show", shown)
+    fresh.batch(some, 2)
+    assert read_parts(spark, out).where("sample = 'B b'").count() == 1000  # the last row waits
+    fresh.batch(records(spark, 1001, 2000, "B b"), 3)
+    fresh.batch(records(spark, 2000, 2001, "B b"), 4)
+    fresh.close()
+    got = collections.Counter((r["sample"], r["name"]) for r in read_parts(spark, out).collect())
+    assert got == {**{("A", f"r{i}"): 1 for i in range(3000)}, **{("B b", f"r{i}"): 1 for i in range(2001)}}
+
+
 def test_an_interrupted_part_is_not_seen(spark, tmp_path, monkeypatch):
     import basewise.streaming.writer as module
 
