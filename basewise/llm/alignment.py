@@ -15,8 +15,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -96,10 +96,16 @@ class Side:
                 fresh.append(unit)
         for at in range(0, len(fresh), 4096):
             some = fresh[at : at + 4096]
-            for unit, ids in zip(some, self.encode(some)):
-                young[unit] = struct.pack(f"<{len(ids)}i", *ids)
-                if b"".join([entries[i] for i in ids]) != unit.encode():
-                    self.changed.add(unit)
+            ids = self.encode(some)
+            flat = list(chain.from_iterable(ids))
+            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            packed, edges = np.array(flat, "<i4").tobytes(), [0, *(4 * ends).tolist()]
+            young.update(zip(some, map(packed.__getitem__, map(slice, edges, edges[1:]))))
+            # Units hold their bytes if all together do, and each ends where its tokens end.
+            bounds = np.concatenate([[0], np.cumsum(self.lengths[flat])])[ends]
+            sizes = np.fromiter((len(u.encode()) for u in some), np.int64, len(some))
+            if b"".join([entries[i] for i in flat]) != "".join(some).encode() or not np.array_equal(bounds, np.cumsum(sizes)):
+                self.changed.update(u for u, own in zip(some, ids) if b"".join([entries[i] for i in own]) != u.encode())
         changed, known = self.changed, young.__getitem__
         out = [b"".join(map(known, units)) if changed.isdisjoint(units) else b"" for units in split]
         for unit in fresh:
@@ -120,9 +126,12 @@ def _frame(ids: list[bytes], lengths: np.ndarray) -> pd.DataFrame:
 
 
 def _covering(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-    """For each token of ``left`` the place of the token of ``right`` that covers its start."""
-    named = right[["doc", "at"]].assign(place=np.arange(len(right)))
-    return pd.merge_asof(left[["doc", "at"]], named, on="at", by="doc")["place"].to_numpy(np.int64)
+    """For each token of ``left`` the place of the token of ``right`` that covers its start.
+
+    Both sides hold the same bytes of each document, so places alone tell the document.
+    """
+    named = right[["at"]].assign(place=np.arange(len(right)))
+    return pd.merge_asof(left[["at"]], named, on="at")["place"].to_numpy(np.int64)
 
 
 def _groups(frame: pd.DataFrame, cut: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> list[list[str]]:
@@ -165,7 +174,7 @@ def align(texts: list[str], a: Side, b: Side) -> tuple[pd.DataFrame, pd.DataFram
 def _packed(codes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """Each document's codes, in rising order, as differences, first bytes first: mostly zeros, which compress well."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    codes = codes[np.lexsort((codes, doc))]
+    codes = np.sort((doc << 32) | codes) & 0xFFFFFFFF
     edges = np.concatenate([[0], np.cumsum(sizes)])
     steps = np.diff(codes, prepend=0)
     steps[edges[:-1][sizes > 0]] = codes[edges[:-1][sizes > 0]]

@@ -76,3 +76,23 @@ def test_documents(spark, sf_dir):
 def test_no_rows(spark):
     empty = alignment.align_table(spark.createDataFrame([], "doc_id long, text string"), A, B)
     assert empty.count() == 0 and empty.columns == ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def test_covering_tokens_are_found_by_place_alone():
+    import pandas as pd
+
+    left, right = pd.DataFrame({"at": [0, 2, 5, 9]}), pd.DataFrame({"at": [0, 3, 5, 6]})
+    assert alignment._covering(left, right).tolist() == [0, 0, 2, 3]
+    assert alignment._covering(right, left).tolist() == [0, 1, 2, 2]
+
+
+def test_units_met_together_are_told_apart_where_one_changes():
+    texts = ["plain words here", "ab \ufb01ne \uff21", "tab\tand space", "\u00e9t\u00e9 \U0001f600", "x", ""]
+    for path in (A, B):
+        side = alignment.Side(path)
+        assert side.tokens(texts) == [alignment.Side(path).tokens([t])[0] for t in texts]
+    # An entry of as many other bytes: only the texts that hold it have no tokens.
+    side = alignment.Side(A)
+    token = Tokenizer.from_file(A).encode(" words", add_special_tokens=False).ids[0]
+    side.entries[token] = bytes(len(side.entries[token]))
+    assert [bool(t) for t in side.tokens(texts)] == [False, True, True, True, True, True]
