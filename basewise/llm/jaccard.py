@@ -103,13 +103,18 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, least: floa
     return rows.mapInArrow(run, schema)
 
 
-def hub_pairs(buckets: DataFrame, least: float, near: Column | None = None, turn: int = 0) -> DataFrame:
-    """``a, b``: the one text of each bucket (``bucket, node, size, label`` and more) that others of it are compared with.
+def hub_pairs(buckets: DataFrame, least: float, near: Column | None = None, led: DataFrame | None = None) -> DataFrame:
+    """``a, b``: the one text of each bucket (``bucket, node, size, label, texts`` and more) that others of it are compared with.
 
-    The order of nodes is one for all buckets of a turn, so that a group meets few different hubs.
+    It is the one that meets the most rows of other labels in all its buckets, and is not among ``led``, the hubs of
+    earlier turns: the middle of a group of near copies is linked with all around it, which may not be linked with each
+    other. The order of nodes is one for all buckets of a turn, so that a group meets few different hubs.
     """
-    order = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.struct(*buckets.columns).alias("is"))
-    hubs = buckets.groupBy("bucket").agg(F.min(order)["is"].alias("hub"))
+    same = buckets.groupBy("bucket", "label").agg(F.count("*").alias("same"))
+    ranked = buckets.join(same, ["bucket", "label"]).groupBy("node").agg(F.sum(F.col("same") - F.col("texts")).alias("others"))
+    ranked = ranked if led is None else ranked.join(led, "node", "left_anti")
+    order = F.struct("others", F.xxhash64("node").alias("h"), F.struct(*buckets.columns).alias("is"))
+    hubs = buckets.join(ranked, "node").groupBy("bucket").agg(F.min(order)["is"].alias("hub"))
     met = buckets.join(hubs, "bucket").filter(F.col("label") != F.col("hub.label")).filter(sizes_near(F.col("size"), F.col("hub.size"), least))
     met = met.filter(near) if near is not None else met
     return met.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
@@ -143,14 +148,15 @@ def contracted(
     the last closed a third of the rows.
     """
     left = materialize(open_buckets(relabelled(buckets, roots)), "labelled")
-    rows, turn, compared = left.count(), 0, None
+    rows, compared = left.count(), None
     while True:
-        pairs = materialize(fitted(hub_pairs(left, least, near, turn), rows), "hub-pairs")
+        led = None if compared is None else compared.select(F.col("a").alias("node")).distinct()
+        pairs = materialize(fitted(hub_pairs(left, least, near, led), rows), "hub-pairs")
         found = materialize(verified(pairs, texts, words, least), "hub-links")
         roots = merged(roots, found)
         compared = pairs if compared is None else compared.union(pairs)
         left = materialize(fitted(open_buckets(relabelled(left.select(*buckets.columns), roots)), rows), "open-buckets")
-        before, rows, turn = rows, left.count(), turn + 1
+        before, rows = rows, left.count()
         if 3 * rows > 2 * before or not rows:
             return roots, compared, left, rows
 
@@ -201,10 +207,12 @@ def crowded(texts: DataFrame, roots: DataFrame, words: int = WORDS, least: float
     # A pair is made at the first shingle that its prefixes share, and at no other.
     own = left.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "bucket"))).alias("own")).select("node", F.col("own.bucket").alias("own"))
     left = materialize(fitted(left.join(own, "node"), rows), "crowd-open")
-    a = left.select("*", F.explode(F.array("band", F.col("band") + 1)).alias("met")).alias("a")
+    # The smaller set of a pair is ``a``; what it shares with one of at least its size begins nearer to its front.
+    front = left.filter(_reach("size", "place", "size", "place", least))
+    a = front.select("*", F.explode(F.array("band", F.col("band") + 1)).alias("met")).alias("a")
     b = left.alias("b")
     meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.met") == F.col("b.band")) & (F.col("a.label") != F.col("b.label"))
-    meet &= (F.col("a.band") < F.col("b.band")) | (F.col("a.node") < F.col("b.node"))
+    meet &= F.struct("a.size", "a.node") < F.struct("b.size", "b.node")
     meet &= sizes_near(F.col("a.size"), F.col("b.size"), least) & _reach("a.size", "a.place", "b.size", "b.place", least)
     meet &= F.array_intersect("a.own", "b.own")[0] == F.col("a.bucket")
     pairs = materialize(a.join(b, meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), "crowd-pairs")
