@@ -11,8 +11,8 @@ With bands of four places the chance to miss a link at the very threshold is
 ``(1 - least**4) ** bands``: 5e-10 for 0.85 with 29 bands, 7e-10 for 0.8 with 40, and
 less for any closer pair.
 
-In a bucket all texts are first compared with one of them (the hub), and what that links
-is grouped. Of buckets that still hold several groups, small ones are paired; the texts
+In a bucket all texts are first compared with one of them (the hub, which meets most others),
+and what that links is grouped. Of buckets that still hold several groups, small ones are paired; the texts
 of all others go through an exact join of shingles (``jaccard.crowded``).
 """
 
